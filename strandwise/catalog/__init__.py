@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sleep
+from . import relational, sleep
 
-_MODULES = (sleep,)
+_MODULES = (sleep, relational)
 
 
 def all_queries() -> dict:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach, numbered
+from .skew import attach, cut_lineage, numbered
 
 MISSING = "missing"
 TILE = 2_000
@@ -141,6 +141,7 @@ def near_pairs(df: DataFrame, id_col: str, cols: list[str], radius: float) -> Da
     crowded cell is cut into tiles of at most ``TILE`` by ``TILE`` rows, each tile
     its own join key, so no task works through all pairs of a cell.
     """
+    df = cut_lineage(df)  # both sides and the cell sizes read it
     grid = cols[:2]
     own = [F.floor(F.col(c) / F.lit(float(radius))).cast("long") for c in grid]
     cells = [f"_g{i}" for i in range(len(grid))]
@@ -235,6 +236,7 @@ def cluster_sequences(shares: DataFrame, keys: list[str], cols: list[str], k: in
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import VectorAssembler
 
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(shares)
+    # The fit reads its input many times: settle it once.
+    vec = cut_lineage(VectorAssembler(inputCols=cols, outputCol="_v").transform(shares).select(*keys, "_v"))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(vec)
     return model.transform(vec).select(*keys, F.concat(F.lit("Type "), (F.col("_c") + 1).cast("string")).alias("type"))
