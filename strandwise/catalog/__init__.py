@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, sleep
+from . import jobs, relational, sleep
 
-_MODULES = (sleep, relational)
+_MODULES = (sleep, relational, jobs)
 
 
 def all_queries() -> dict:

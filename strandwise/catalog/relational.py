@@ -231,7 +231,7 @@ def scalar_math(spark, d):
     return o.select(
         "o_orderkey",
         r6(F.ln("o_totalprice")).alias("log_price"),
-        F.round(F.abs(F.col("o_totalprice") - 250000), 1).alias("far"),
+        r6(F.abs(F.col("o_totalprice") - 250000)).alias("far"),
         F.floor((k - 20) / 50).cast("long").alias("bucket"),
         F.pmod(k - 20, F.lit(50)).cast("long").alias("rest"),
         r6(F.exp(F.col("o_totalprice") / 1e6)).alias("grown"),
@@ -355,7 +355,7 @@ SQL = {
     "stacked_tables": """SELECT c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer
         UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier""",
     "row_numbers": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
-    "scalar_math": """SELECT o_orderkey, round(ln(o_totalprice), 6) AS log_price, round(abs(o_totalprice - 250000), 1) AS far,
+    "scalar_math": """SELECT o_orderkey, round(ln(o_totalprice), 6) AS log_price, round(abs(o_totalprice - 250000), 6) AS far,
         CAST(floor((o_orderkey - 20) / 50) AS BIGINT) AS bucket, ((o_orderkey - 20) % 50 + 50) % 50 AS rest,
         round(exp(o_totalprice / 1e6), 6) AS grown FROM orders""",
 }

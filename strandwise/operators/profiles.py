@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import hot_keys, running, with_parts
+from .skew import hot_keys, null_safe_join, running, with_parts
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float], **extra: Column) -> DataFrame:
     """Exact linearly interpolated quantiles (position (n-1)p) per group.
 
-    Ordinary groups use Spark's exact ``percentile``. Groups too large for one
-    aggregation buffer are reduced to counts per distinct value, ranked by running
-    totals over value slices, and read off at the wanted positions.
+    ``extra`` names further aggregates for the same pass. Ordinary groups use
+    Spark's exact ``percentile``. Groups too large for one aggregation buffer are
+    reduced to counts per distinct value, ranked by running totals over value
+    slices, and read off at the wanted positions.
     """
-    src = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    src = df.withColumn("_x", F.col(x).cast("double"))
     qs = F.array(*[F.lit(p) for p in probs.values()])
+    more = [c.alias(n) for n, c in extra.items()]
 
     def builtin(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).agg(F.percentile("_x", qs).alias("_q")).select(
-            *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)]
-        )
+        found = part.groupBy(*keys).agg(F.percentile("_x", qs).alias("_q"), *more)
+        return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)], *extra)
 
     hot = hot_keys(src, keys)
     if hot is None:
         return builtin(src)
-    split = with_parts(src, hot, keys, "_parts", "_rows")
-    small = builtin(split.where(F.col("_parts").isNull()).select(*keys, "_x"))
-    counts = split.where(F.col("_parts").isNotNull()).groupBy(*keys, "_x").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_rows").alias("_rows")
-    )
+    split = with_parts(src, hot, keys, "_parts")
+    small = builtin(split.where(F.col("_parts").isNull()))
+    large = split.where(F.col("_parts").isNotNull())
+    counts = large.where(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = large.groupBy(*keys).agg(F.count("_x").alias("_rows"), *more)  # hot keys only: bounded
     placed = running(counts, keys, ["_x"], _before=F.col("_n"))
+    placed = null_safe_join(placed, F.broadcast(sizes.select(*keys, "_rows")), keys)
     aggs: list[Column] = []
     for n, p in probs.items():
         at = F.lit(float(p)) * (F.col("_rows") - 1)
@@ -47,18 +49,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, flo
             F.max(F.when(here(high), F.col("_x"))).alias(f"_{n}_b"),
             F.max(at - low).alias(f"_{n}_f"),
         ]
-    big = placed.groupBy(*keys).agg(*aggs).select(
+    ends = placed.groupBy(*keys).agg(*aggs)
+    big = null_safe_join(sizes, ends, keys).select(
         *keys,
         *[(F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * F.col(f"_{n}_f")).alias(n) for n in probs],
+        *extra,
     )
     return small.unionByName(big)
 
 
 def quantile_summary(df: DataFrame, keys: list[str], x: str, probs: dict[str, float] | None = None) -> DataFrame:
     """Rows, mean and quantiles of a measure per group."""
-    probs = probs or QUARTILES
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"))
-    return base.join(exact_quantiles(df, keys, x, probs), keys, "left")
+    return exact_quantiles(df, keys, x, probs or QUARTILES, n=F.count(F.lit(1)), mean=F.avg(x))
 
 
 def profile_by_each(df: DataFrame, dims: list[str], x: str, probs: dict[str, float] | None = None) -> DataFrame:
@@ -80,11 +82,9 @@ def group_profile(df: DataFrame, type_col: str, id_col: str, measures: list[str]
     long = df.where(F.col(type_col).isNotNull()).unpivot(
         [type_col, id_col], [F.col(m).cast("double").alias(m) for m in measures], "variable", "value"
     )
-    base = long.groupBy(type_col, "variable").agg(
-        F.count_distinct(id_col).alias("n"), F.avg("value").alias("mean")
-    )
-    q = exact_quantiles(long, [type_col, "variable"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    return base.join(q, [type_col, "variable"])
+    ids = long.groupBy(type_col, "variable").agg(F.count_distinct(id_col).alias("n"))
+    q = exact_quantiles(long, [type_col, "variable"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, mean=F.avg("value"))
+    return ids.join(q, [type_col, "variable"])
 
 
 def table_one_numeric(df: DataFrame, measures: list[str], strata: str) -> DataFrame:

@@ -13,7 +13,6 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MIN_ROWS_CONF = "strandwise.hot.minRows"
 MIN_ROWS = 1_000_000
@@ -34,8 +33,6 @@ def hot_keys(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame | Non
     spark = df.sparkSession
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in stats.items()])
     floor = int(spark.conf.get(MIN_ROWS_CONF, str(MIN_ROWS)))
-    # Two passes over the small count table would recompute the input; read the
-    # total and the candidates above the fixed floor together instead.
     total = counts.agg(F.sum("_rows").alias("_total")).scalar()
     limit = F.greatest(F.lit(floor), F.ceil(total / F.lit(MAX_HOT)))
     found = counts.where(F.col("_rows") > limit).withColumn("_parts", F.ceil(F.col("_rows") / limit).cast("int"))
@@ -45,21 +42,18 @@ def hot_keys(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame | Non
     return spark.createDataFrame(rows, found.schema)
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of all key columns."""
+def null_safe_join(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys meet null keys."""
+    renamed = side.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(renamed, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def with_parts(df: DataFrame, hot: DataFrame, keys: list[str], *cols: str) -> DataFrame:
     """Put columns of the bounded hot-key table on every row (null for other keys)."""
-    side = hot.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], *cols)
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_hk{i}"))
-    return df.join(F.broadcast(side), cond, "left").drop(*[f"_hk{i}" for i in range(len(keys))])
+    return null_safe_join(df, F.broadcast(hot.select(*keys, *cols)), keys)
 
 
 def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -168,6 +162,3 @@ def scalar_of(df: DataFrame, agg: Column) -> Column:
     """One aggregate of the whole table, usable in expressions over any table."""
     return df.agg(agg.alias("_one")).scalar()
 
-
-def long_schema(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
