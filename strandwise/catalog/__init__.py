@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jobs, relational, sleep
+from . import chapters, jobs, relational, sleep, text
 
-_MODULES = (sleep, relational, jobs)
+_MODULES = (sleep, relational, jobs, chapters, text)
 
 
 def all_queries() -> dict:

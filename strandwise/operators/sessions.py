@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach, blocked
+from .skew import attach, blocked, null_safe_join
 
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
@@ -60,7 +60,7 @@ def sessionize(
             + F.col("_edge_brk")
         ).alias("_carry"),
     )
-    out = local.join(carried, [*keys, "_block"], "left")
+    out = null_safe_join(local, carried, [*keys, "_block"])
     return out.select(
         *df.columns,
         F.coalesce(hours, F.when(F.col("_prev").isNull(), F.col("_edge")), F.lit(0.0)).alias("gap_hours"),

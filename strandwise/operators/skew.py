@@ -56,14 +56,18 @@ def with_parts(df: DataFrame, hot: DataFrame, keys: list[str], *cols: str) -> Da
     return null_safe_join(df, F.broadcast(hot.select(*keys, *cols)), keys)
 
 
-def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+_ASK = object()
+
+
+def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", hot=_ASK) -> DataFrame:
     """Equi-join ``df`` with ``side`` on ``keys``, spreading hot keys of ``df``.
 
     Rows of a hot key get a salt from a hash of the whole row (stable when a task
     is run again), and the matching rows of ``side`` are repeated once per salt.
-    Other keys join as usual.
+    Other keys join as usual. Loops pass the ``hot_keys`` result they already have.
     """
-    hot = hot_keys(df, keys)
+    if hot is _ASK:
+        hot = hot_keys(df, keys)
     if hot is None:
         return df.join(side, keys, how)
     salted = with_parts(df, hot, keys, "_parts").withColumn(
@@ -110,7 +114,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], **sums: Column) ->
         carry = totals.select(
             *keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums]
         )
-        out = out.join(carry, [*keys, "_block"], "left")
+        out = null_safe_join(out, carry, [*keys, "_block"])
         out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums})
         out = out.drop(*[f"_c_{n}" for n in sums])
     return out.drop("_block", *[f"_v_{n}" for n in sums])
