@@ -184,9 +184,9 @@ SQL = {
         SELECT o_orderpriority, arg_max(n, gain) AS at, arg_max(day, gain) AS at_order, round(max(gain), 3) AS gain FROM g GROUP BY 1""",
     "interval_bins": """SELECT CASE WHEN o_totalprice >= 50000 AND o_totalprice <= 100000 THEN 1
         WHEN o_totalprice > 100000 AND o_totalprice <= 200000 THEN 2 WHEN o_totalprice > 200000 AND o_totalprice <= 400000 THEN 3
-        END AS bin, count(*) AS n, max(o_totalprice) AS high FROM orders GROUP BY 1""",
+        END::BIGINT AS bin, count(*) AS n, max(o_totalprice) AS high FROM orders GROUP BY 1""",
     "bin_mean_on_rows": """WITH b AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey <= 500 THEN 1
-          WHEN o_orderkey <= 1000 THEN 2 ELSE 3 END AS bin FROM orders)
+          WHEN o_orderkey <= 1000 THEN 2 ELSE 3 END::BIGINT AS bin FROM orders)
         SELECT o_orderkey, bin, round(avg(o_totalprice) OVER (PARTITION BY bin), 6) AS mean FROM b""",
     "segment_keywords": f"""WITH {_SENT} SELECT DISTINCT source AS name FROM sent WHERE title_id <= 9 AND sure""",
     "topic_stream": f"""WITH {_SENT}, {_TOPTWO} SELECT title_id, topic_id || '' AS topic_id, count(*) AS n,
