@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chapters, jobs, networks, relational, sleep, text
+from . import chapters, jobs, matching, networks, relational, sleep, text
 
-_MODULES = (sleep, relational, jobs, chapters, text, networks)
+_MODULES = (sleep, relational, jobs, chapters, text, networks, matching)
 
 
 def all_queries() -> dict:

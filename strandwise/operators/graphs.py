@@ -139,6 +139,7 @@ def filter_edges_quantile(edges: DataFrame, prob: float = 0.5) -> DataFrame:
     """Keep edges at or above a quantile of the positive weights."""
     from .profiles import exact_quantiles
 
+    edges = cut_lineage(edges)  # read for the cut and again for the filter
     positive = edges.where(F.col("weight") > 0).withColumn("_all", F.lit(1))
     cut = exact_quantiles(positive, ["_all"], "weight", {"_q": prob}).select("_q").scalar()
     return edges.where(F.col("weight") >= cut)
@@ -150,9 +151,11 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def filter_vertices(edges: DataFrame, least_degree: int) -> DataFrame:
     """Edges between vertices of at least this degree, in one pass (not repeated)."""
+    edges = cut_lineage(edges)
     keep = degree(edges).where(F.col("degree") >= least_degree)
-    kept = attach(edges, keep.select(F.col("id").alias("src")), ["src"], "left_semi")
-    return attach(kept, keep.select(F.col("id").alias("dst")), ["dst"], "left_semi")
+    src, dst = keep.select(F.col("id").alias("src")), keep.select(F.col("id").alias("dst"))
+    kept = attach(edges, src, ["src"], "left_semi", hot_keys(edges, ["src"]))
+    return attach(kept, dst, ["dst"], "left_semi", hot_keys(edges, ["dst"]))
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -170,7 +173,7 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         heard = attach(links, labels.withColumnRenamed("id", "src"), ["src"], "inner", hot)
         votes = heard.groupBy(F.col("dst").alias("id"), "label").agg(F.round(F.sum("weight"), 9).alias("_w"))
         own = labels.select("id", F.col("label").alias("_own"))
-        ranked = attach(votes, own, ["id"], "inner").groupBy("id", "_own").agg(
+        ranked = votes.join(own, "id").groupBy("id", "_own").agg(
             F.min_by("label", F.struct(-F.col("_w"), (F.col("label") != F.col("_own")).cast("int"), F.col("label"))).alias("_best")
         )
         moves = F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2
@@ -187,10 +190,11 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Modularity of a grouping as one row."""
-    links = both_ways(edges, "src", "dst", "weight")
+    links = cut_lineage(both_ways(edges, "src", "dst", "weight"))
+    hot = hot_keys(links, ["src"])  # doubled edges: the same for dst
     g = groups.select("id", "community")
-    tagged = attach(links, g.toDF("src", "_a"), ["src"], "inner")
-    tagged = attach(tagged, g.toDF("dst", "_b"), ["dst"], "inner")
+    tagged = attach(links, g.toDF("src", "_a"), ["src"], "inner", hot)
+    tagged = attach(tagged, g.toDF("dst", "_b"), ["dst"], "inner", hot and hot.withColumnRenamed("src", "dst"))
     per = tagged.groupBy("_a").agg(
         F.sum("weight").alias("_tot"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0)).alias("_in")
     )

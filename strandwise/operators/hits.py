@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import attach
+from .skew import attach, cut_lineage, hot_keys, numbered, pick_hot
 
 TILE = 1_000
+BROADCAST_CHARS = 16_000_000
 SPACE = r"\s+"
 
 
-def _inside(pieces: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
+def _inside(pieces: DataFrame, terms: DataFrame, lengths: list[int], small: bool) -> DataFrame:
     """(piece, term) for every term that is a substring of a piece.
 
     A term of length L occurs exactly when it equals one of the piece's substrings
@@ -27,7 +28,7 @@ def _inside(pieces: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFram
 
     every = F.array_distinct(F.concat(*[grams(n) for n in lengths]))
     rows = cut.select("piece", F.explode(every).alias("term"))
-    return attach(rows, terms, ["term"], "inner")
+    return rows.join(F.broadcast(terms), "term") if small else attach(rows, terms, ["term"], "inner")
 
 
 def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
@@ -35,21 +36,29 @@ def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
 
     Texts are reduced to their distinct space-separated pieces, and only the
     distinct pieces of the whole collection are searched; a term with spaces in it
-    is searched in whole texts. There is no document-by-term comparison.
+    is searched in whole texts. There is no document-by-term comparison. The
+    vocabulary is broadcast only when its measured size is at most
+    ``BROADCAST_CHARS`` characters, otherwise it is joined by shuffle.
     """
+    spark = docs.sparkSession
     vocab = terms.select(terms.columns[0]).toDF("term").where(F.char_length("term") > 0).distinct()
-    shape = vocab.select(F.col("term").rlike(SPACE).alias("spaced"), F.char_length("term").alias("n")).distinct()
-    found = [(r["spaced"], r["n"]) for r in shape.collect()]  # one row per term length
+    spaced_term = F.col("term").rlike(SPACE)
+    shape = vocab.groupBy(spaced_term.alias("spaced"), F.char_length("term").alias("n")).agg(F.count(F.lit(1)).alias("m"))
+    found = [(r["spaced"], r["n"], r["m"]) for r in shape.collect()]  # one row per term length
+    small = sum(n * m for _, n, m in found) <= BROADCAST_CHARS
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = None
     for spaced in (False, True):
-        lengths = sorted(n for s, n in found if s == spaced)
+        lengths = sorted(n for s, n, _ in found if s == spaced)
         if not lengths:
             continue
         part = F.array(F.col(text_col)) if spaced else F.array_distinct(F.split(text_col, SPACE))
         pieces = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(part).alias("piece"))
         pieces = pieces.where(F.char_length("piece") >= lengths[0])
-        wanted = vocab.where(F.col("term").rlike(SPACE) if spaced else ~F.col("term").rlike(SPACE))
-        matched = _inside(pieces.select("piece").distinct(), wanted, lengths)
+        wanted = vocab.where(spaced_term if spaced else ~spaced_term)
+        # Cutting pieces up is far more work than their bytes suggest: keep all tasks.
+        unique = pieces.select("piece").distinct().repartition(tasks, "piece")
+        matched = cut_lineage(_inside(unique, wanted, lengths, small))
         hits = attach(pieces, matched, ["piece"], "inner").select("doc_id", "term").distinct()
         out = hits if out is None else out.unionByName(hits).distinct()
     if out is None:
@@ -66,8 +75,8 @@ def doc_freq(hits: DataFrame) -> DataFrame:
 def frequent_only(hits: DataFrame, least: int) -> DataFrame:
     """Hits of terms found in at least ``least`` documents. Applied before pairs are
     formed, it gives the same graph as dropping small vertices afterwards."""
-    keep = doc_freq(hits).where(F.col("n_docs") >= least).select("term")
-    return attach(hits, keep, ["term"], "left_semi")
+    counts = cut_lineage(doc_freq(hits).select("term", F.col("n_docs").alias("_rows")))
+    return attach(hits, counts.where(F.col("_rows") >= least).select("term"), ["term"], "left_semi", pick_hot(counts))
 
 
 def cooccurrence(hits: DataFrame, mean_of: str | None = None) -> DataFrame:
@@ -79,19 +88,25 @@ def cooccurrence(hits: DataFrame, mean_of: str | None = None) -> DataFrame:
     """
     cols = ["doc_id", "term", *([mean_of] if mean_of else [])]
     rows = hits.select(*cols).dropDuplicates(["doc_id", "term"])
-    parts = rows.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("_p")).where(F.col("_p") > 1)
-    rows = attach(rows, parts, ["doc_id"]).withColumn("_p", F.coalesce("_p", F.lit(1)))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("term"), "_p"))
-    other = F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)
-    tiles = rows.withColumn("_o", F.explode(other)).select(
-        *cols, "_b", F.least("_b", "_o").alias("_ti"), F.greatest("_b", "_o").alias("_tj")
-    )
-    left = tiles.withColumnRenamed("term", "a")
-    right = tiles.select("doc_id", F.col("term").alias("b"), F.col("_b").alias("_c"), "_ti", "_tj")
-    # A tile of two blocks pairs across them; a tile of one block pairs inside it.
-    met = left.join(right, ["doc_id", "_ti", "_tj"]).where(
-        (F.col("a") < F.col("b")) & ((F.col("_ti") == F.col("_tj")) | (F.col("_b") != F.col("_c")))
-    )
+    sizes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    crowded = cut_lineage(sizes.where(F.col("_rows") > TILE))
+    if crowded.isEmpty():
+        right = rows.select("doc_id", F.col("term").alias("b"))
+        met = rows.withColumnRenamed("term", "a").join(right, "doc_id").where(F.col("a") < F.col("b"))
+    else:
+        parts = crowded.select("doc_id", F.ceil(F.col("_rows") / TILE).alias("_p"))
+        rows = attach(rows, parts, ["doc_id"]).withColumn("_p", F.coalesce("_p", F.lit(1)))
+        rows = rows.withColumn("_b", F.pmod(F.xxhash64("term"), "_p"))
+        other = F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)
+        tiles = rows.withColumn("_o", F.explode(other)).select(
+            *cols, "_b", F.least("_b", "_o").alias("_ti"), F.greatest("_b", "_o").alias("_tj")
+        )
+        left = tiles.withColumnRenamed("term", "a")
+        right = tiles.select("doc_id", F.col("term").alias("b"), F.col("_b").alias("_c"), "_ti", "_tj")
+        # A tile of two blocks pairs across them; a tile of one block pairs inside it.
+        met = left.join(right, ["doc_id", "_ti", "_tj"]).where(
+            (F.col("a") < F.col("b")) & ((F.col("_ti") == F.col("_tj")) | (F.col("_b") != F.col("_c")))
+        )
     aggs = [F.count(F.lit(1)).alias("weight")]
     if mean_of:
         aggs.append(F.avg(mean_of).alias(f"mean_{mean_of}"))
@@ -104,11 +119,12 @@ def term_correlation(hits: DataFrame, n_docs: Column | int) -> DataFrame:
     Pairs that never meet correlate at zero or below, so the sparse pairs suffice
     for every graph built on positive weights.
     """
-    pairs = cooccurrence(hits)
+    pairs = cut_lineage(cooccurrence(hits))
+    hot_a, hot_b = hot_keys(pairs, ["a"]), hot_keys(pairs, ["b"])
     n = hits.groupBy("term").agg(F.count_distinct("doc_id").alias("_n"))
     total = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    rows = attach(pairs, n.select(F.col("term").alias("a"), F.col("_n").alias("_na")), ["a"], "inner")
-    rows = attach(rows, n.select(F.col("term").alias("b"), F.col("_n").alias("_nb")), ["b"], "inner")
+    rows = attach(pairs, n.select(F.col("term").alias("a"), F.col("_n").alias("_na")), ["a"], "inner", hot_a)
+    rows = attach(rows, n.select(F.col("term").alias("b"), F.col("_n").alias("_nb")), ["b"], "inner", hot_b)
     na, nb, nn = F.col("_na").cast("double"), F.col("_nb").cast("double"), total.cast("double")
     below = F.sqrt(na * (nn - na) * nb * (nn - nb))
     return rows.select("a", "b", "weight", ((nn * F.col("weight") - na * nb) / F.nullif(below, F.lit(0.0))).alias("r"))
@@ -121,8 +137,6 @@ def pair_evidence(hits: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     per pair could not hold a large pair.
     """
     top = cooccurrence(hits).orderBy(F.desc("weight"), "a", "b").limit(k)
-    from .skew import numbered
-
     top = numbered(top, [F.desc("weight"), "a", "b"], "rank").select("rank", "a", "b", "weight")
     ends = F.broadcast(top)  # k rows
     a = hits.join(ends, F.col("term") == F.col("a")).select("doc_id", "rank", "a", "b", "weight")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach, numbered
+from .skew import attach, cut_lineage, numbered, pick_hot, running, with_stats
 
 
 def first_by_key(dim: DataFrame, key: str, order: str) -> DataFrame:
@@ -78,7 +78,7 @@ def with_total(df: DataFrame, keys: list[str], value: Column, name: str) -> Data
     """Group total on each row: aggregate, then join back (no window over a group)."""
     if not keys:
         return df.withColumn(name, df.agg(F.sum(value).alias("_t")).scalar())
-    return attach(df, df.groupBy(*keys).agg(F.sum(value).alias(name)), keys)
+    return with_stats(df, keys, **{name: F.sum(value)})
 
 
 def share_of(df: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:
@@ -88,7 +88,7 @@ def share_of(df: DataFrame, keys: list[str], value: str, name: str = "share") ->
 
 def group_stat(df: DataFrame, keys: list[str], stat: Column, name: str) -> DataFrame:
     """Any group aggregate on each row."""
-    return attach(df, df.groupBy(*keys).agg(stat.alias(name)), keys)
+    return with_stats(df, keys, **{name: stat})
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -100,11 +100,12 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
 
 def lump_n(df: DataFrame, col: str, n: int, other: str = "Other", name: str | None = None) -> DataFrame:
     """Keep the n most frequent levels (ties kept), the rest become ``other``."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
+    hot = pick_hot(counts.withColumnRenamed("_n", "_rows"))
     nth = counts.orderBy(F.desc("_n")).limit(n).agg(F.min("_n").alias("_m")).scalar()
     kept = counts.where(F.col("_n") >= nth).select(col, F.lit(True).alias("_keep"))
     level = F.when(F.col("_keep"), F.col(col)).otherwise(F.lit(other))
-    return attach(df, kept, [col]).withColumn(name or col, level).drop("_keep")
+    return attach(df, kept, [col], "left", hot).withColumn(name or col, level).drop("_keep")
 
 
 def category_order(df: DataFrame, col: str, by: Column, descending: bool = True) -> DataFrame:
@@ -184,8 +185,6 @@ def ordered_lists(
     Ordinary keys give one row (``chunk_no`` 0); a huge key continues in further
     rows, so nothing is dropped and no array grows without bound.
     """
-    from .skew import running
-
     placed = running(df, keys, order, _at=F.lit(1))
     placed = placed.withColumn("chunk_no", F.floor(F.col("_at") / chunk).cast("long"))
     items = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(value).alias("_v"))))

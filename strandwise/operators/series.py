@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach, cut_lineage, hot_keys, running
+from .skew import attach, cut_lineage, hot_keys, running, with_stats
 
 
 def entropy_by(df: DataFrame, keys: list[str], cat: str, weighted: bool = False) -> DataFrame:
@@ -109,8 +109,8 @@ def change_points(
     last position (``at``, from 1), its order value and the gain.
     """
     src = df.where(F.col(x).isNotNull()).select(*keys, F.col(order).alias("_t"), F.col(x).cast("double").alias("_x"))
-    center = src.groupBy(*keys).agg(F.avg("_x").alias("_mu"))  # keeps the squares small
-    src = attach(src, center, keys).withColumn("_x", F.col("_x") - F.col("_mu"))
+    src = with_stats(src, keys, _mu=F.avg("_x"))  # centring keeps the squares small
+    src = src.withColumn("_x", F.col("_x") - F.col("_mu"))
     sums = running(src, keys, ["_t"], _n=F.lit(1), _s1=F.col("_x"), _s2=F.col("_x") * F.col("_x"))
     sums = cut_lineage(
         sums.select(
@@ -136,11 +136,12 @@ def change_points(
         "_b2",
     )
     seg_cols = fresh.columns
+    hot = hot_keys(sums, keys)
 
     def scored(segments: DataFrame) -> DataFrame:
         """Best split of each segment; at most two fresh segments per series."""
         packed = segments.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in seg_cols if c not in keys])).alias("_segs"))
-        rows = attach(sums, packed, keys, "inner")
+        rows = attach(sums, packed, keys, "inner", hot)
         rows = rows.select(*keys, "_t", "_n", "_s1", "_s2", F.explode("_segs").alias("_g")).where(
             (F.col("_n") >= F.col("_g._a") + min_len) & (F.col("_n") <= F.col("_g._b") - min_len)
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach, blocked, null_safe_join
+from .skew import attach, blocked, null_safe_join, with_stats
 
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
@@ -118,8 +118,7 @@ def without_sessions(df: DataFrame, keys: list[str], excluded: DataFrame) -> Dat
 
 def offset_from_start(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Add the distance of ``value`` from its smallest value in the group."""
-    low = df.groupBy(*keys).agg(F.min(value).alias("_low"))
-    return attach(df, low, keys).withColumn(name, F.col(value) - F.col("_low")).drop("_low")
+    return with_stats(df, keys, _low=F.min(value)).withColumn(name, F.col(value) - F.col("_low")).drop("_low")
 
 
 def fold_to_day(df: DataFrame, keys: list[str], start: str, end: str, zone: str = "UTC") -> DataFrame:
@@ -128,7 +127,6 @@ def fold_to_day(df: DataFrame, keys: list[str], start: str, end: str, zone: str
     Adds ``xmin`` and ``xmax`` in seconds from the reference midnight; the end
     uses its own date, so a record over midnight keeps ``xmax`` after ``xmin``.
     """
-    low = df.groupBy(*keys).agg(F.min(start).alias("_low"))
     day0 = F.to_date(local_time(F.col("_low"), zone))
 
     def seconds(us: str) -> Column:
@@ -136,7 +134,7 @@ def fold_to_day(df: DataFrame, keys: list[str], start: str, end: str, zone: str
         clock = F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
         return (F.datediff(F.to_date(t), day0) * 86400 + clock).cast("long")
 
-    return attach(df, low, keys).withColumns({"xmin": seconds(start), "xmax": seconds(end)}).drop("_low")
+    return with_stats(df, keys, _low=F.min(start)).withColumns({"xmin": seconds(start), "xmax": seconds(end)}).drop("_low")
 
 
 def minute_states(
@@ -150,8 +148,7 @@ def minute_states(
     map side and groups by (session, minute), so no session gathers in one task.
     """
     step = step_minutes * MINUTE_US
-    low = df.groupBy(*keys).agg(F.min(start).alias("_low"))
-    rows = attach(df, low, keys)
+    rows = with_stats(df, keys, _low=F.min(start))
     ticks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(end) - F.col(start)) / F.lit(step)).cast("long"))
     rows = rows.select(
         *keys,

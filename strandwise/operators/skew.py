@@ -19,9 +19,17 @@ MIN_ROWS = 1_000_000
 MAX_HOT = 100_000
 
 
-def _threshold(spark: SparkSession, total: int) -> int:
+def pick_hot(counts: DataFrame) -> DataFrame | None:
+    """The hot rows of a table of keys with their row counts (``_rows``)."""
+    spark = counts.sparkSession
     floor = int(spark.conf.get(MIN_ROWS_CONF, str(MIN_ROWS)))
-    return max(floor, -(-total // MAX_HOT))
+    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
+    limit = F.greatest(F.lit(floor), F.ceil(total / F.lit(MAX_HOT)))
+    found = counts.where(F.col("_rows") > limit).withColumn("_parts", F.ceil(F.col("_rows") / limit).cast("int"))
+    rows = found.collect()  # at most MAX_HOT rows, see the module text
+    if not rows:
+        return None
+    return spark.createDataFrame(rows, found.schema)
 
 
 def hot_keys(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame | None:
@@ -30,16 +38,7 @@ def hot_keys(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame | Non
     Returns ``None`` when no key is hot, so callers keep the plain plan. One
     narrow, map-side combined pass over the key columns decides it.
     """
-    spark = df.sparkSession
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in stats.items()])
-    floor = int(spark.conf.get(MIN_ROWS_CONF, str(MIN_ROWS)))
-    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
-    limit = F.greatest(F.lit(floor), F.ceil(total / F.lit(MAX_HOT)))
-    found = counts.where(F.col("_rows") > limit).withColumn("_parts", F.ceil(F.col("_rows") / limit).cast("int"))
-    rows = found.collect()  # at most MAX_HOT rows, see the module text
-    if not rows:
-        return None
-    return spark.createDataFrame(rows, found.schema)
+    return pick_hot(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in stats.items()]))
 
 
 def null_safe_join(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,6 +78,18 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", h
     return salted.drop("_parts").join(copies.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
 
 
+def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
+    """Group aggregates on each row.
+
+    The aggregate table is written once; it also names the hot keys, so the rows
+    themselves are read only twice (aggregate, join).
+    """
+    table = cut_lineage(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in stats.items()])
+    )
+    return attach(df, table.drop("_rows"), keys, "left", pick_hot(table.select(*keys, "_rows")))
+
+
 def blocked(df: DataFrame, keys: list[str], order: Column) -> tuple[DataFrame, bool]:
     """Add ``_block``: 0 for ordinary keys, a rising slice number inside hot keys.
 
