@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table. Its timestamps carry no zone, so the session reads them as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out text that sits in fewer file splits than there are cores; larger
+    inputs, which have splits enough, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def r6(col: Column | str) -> Column:

@@ -9,6 +9,7 @@ from .skew import attach, cut_lineage, hot_keys, numbered, pick_hot
 
 TILE = 1_000
 BROADCAST_CHARS = 16_000_000
+WINDOW = 256
 SPACE = r"\s+"
 
 
@@ -18,17 +19,20 @@ def _inside(pieces: DataFrame, terms: DataFrame, lengths: list[int], small: bool
     A term of length L occurs exactly when it equals one of the piece's substrings
     of length L, so the containment becomes an equality join on short strings.
     """
-    chars = F.filter(F.split("piece", ""), lambda c: c != "")
-    cut = pieces.select("piece", chars.alias("_c"))
-
-    def grams(length: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_c") - length + 1)
-        found = F.transform(starts, lambda i: F.array_join(F.slice(F.col("_c"), i, F.lit(length)), ""))
-        return F.when(F.size("_c") >= length, found).otherwise(F.array().cast("array<string>"))
-
-    every = F.array_distinct(F.concat(*[grams(n) for n in lengths]))
-    rows = cut.select("piece", F.explode(every).alias("term"))
-    return rows.join(F.broadcast(terms), "term") if small else attach(rows, terms, ["term"], "inner")
+    longest = lengths[-1]
+    size = F.char_length("piece")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(size / F.lit(WINDOW)).cast("int"), F.lit(1)) - 1)
+    # Windows keep substrings near the front of short strings, whatever the piece's size.
+    view = F.substring("piece", F.col("_w") * WINDOW + 1, F.lit(WINDOW + longest - 1))
+    cut = pieces.select("piece", F.explode(starts).alias("_w")).select("piece", view.alias("_v"))
+    cut = cut.withColumn("_n", F.char_length("_v"))
+    at = cut.select("piece", "_v", "_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("_n")))).alias("_at"))
+    every = at.select("piece", "_v", "_n", "_at", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_l"))
+    rows = every.where(F.col("_at") + F.col("_l") - 1 <= F.col("_n")).select(
+        "piece", F.substring("_v", F.col("_at"), F.col("_l")).alias("term")
+    )
+    met = rows.join(F.broadcast(terms), "term") if small else attach(rows, terms, ["term"], "inner")
+    return met.select("piece", "term").distinct()
 
 
 def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
         lengths = sorted(n for s, n, _ in found if s == spaced)
         if not lengths:
             continue
-        part = F.array(F.col(text_col)) if spaced else F.array_distinct(F.split(text_col, SPACE))
+        part = F.array(F.col(text_col)) if spaced else F.split(text_col, SPACE)
         pieces = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(part).alias("piece"))
         pieces = pieces.where(F.char_length("piece") >= lengths[0])
         wanted = vocab.where(spaced_term if spaced else ~spaced_term)
