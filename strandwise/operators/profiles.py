@@ -137,3 +137,23 @@ def table_one_categorical(df: DataFrame, variables: list[str], strata: str) -> D
     return full.join(stat, "variable").select(
         "variable", "level", strata, "n", (F.col("n") * 100 / F.col("_col")).alias("percent"), "chi2", "df"
     )
+
+
+def with_p_value(df: DataFrame, stat: str, df1: str, df2: str | None = None) -> DataFrame:
+    """Add the upper tail area ``p``: F when two degrees of freedom, else chi-square.
+
+    Meant for summary tables, which have a handful of rows.
+    """
+    import pandas as pd
+
+    from ..functions.distributions import chi2_tail, f_tail
+
+    @F.pandas_udf("double")
+    def f_area(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([f_tail(*v) if v[0] == v[0] else None for v in zip(s, a, b)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def chi_area(s: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([chi2_tail(*v) if v[0] == v[0] else None for v in zip(s, a)], dtype="float64")
+
+    return df.withColumn("p", f_area(stat, df1, df2) if df2 else chi_area(stat, df1))
