@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import chi2_tail, f_tail
 from .skew import hot_keys, null_safe_join, running, with_parts
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -144,10 +146,6 @@ def with_p_value(df: DataFrame, stat: str, df1: str, df2: str | None = None) ->
 
     Meant for summary tables, which have a handful of rows.
     """
-    import pandas as pd
-
-    from ..functions.distributions import chi2_tail, f_tail
-
     @F.pandas_udf("double")
     def f_area(s: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f_tail(*v) if v[0] == v[0] else None for v in zip(s, a, b)], dtype="float64")
