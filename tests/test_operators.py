@@ -140,8 +140,9 @@ def greedy(rows, caliper):
     return out
 
 
-@pytest.mark.parametrize("grid,share,floor", [(8, 0.4, "1000000"), (40, 0.35, "1000000"), (6, 0.6, "4")])
-def test_caliper_match_equals_greedy(spark, grid, share, floor):
+@pytest.mark.parametrize("grid,share,floor,zone", [(8, 0.4, "1000000", 50_000), (10**6, 0.5, "1000000", 9), (6, 0.6, "4", 4)])
+def test_caliper_match_equals_greedy(spark, monkeypatch, grid, share, floor, zone):
+    monkeypatch.setattr(matching, "ZONE", zone)
     rnd = random.Random(grid)
     rows = [(i, rnd.random() < share, round(rnd.random() * grid) / grid) for i in range(120)]
     spark.conf.set("strandwise.hot.minRows", floor)
