@@ -27,7 +27,7 @@ def _sentences(spark, d):
     topics = docs.select(
         F.col("doc_id").alias("id"),
         topic.alias("topic_id"),
-        (F.col("n_chars") % 3 == 0).cast("double").alias("prob"),
+        (F.col("n_chars") > 1000).cast("double").alias("prob"),
         listed.alias("rep_ori"),
         F.concat(F.lit("['"), F.col("lang"), F.lit("']")).alias("rep_keybert"),
         F.concat(F.lit("['"), F.col("source"), F.lit("']")).alias("rep_mmr"),
@@ -139,7 +139,7 @@ QUERIES = {
 _SENT = """sent AS (
   SELECT documents.doc_id AS id, CAST(substr(source, 4) AS BIGINT) AS title_id,
     CAST(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE -1 END AS BIGINT) AS topic_id,
-    n_chars % 3 = 0 AS sure, lang, source,
+    n_chars > 1000 AS sure, lang, source,
     CASE quality WHEN 1 THEN 'Positive' WHEN 0 THEN 'Negative' ELSE 'Neutral' END AS mood
   FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id
 )"""

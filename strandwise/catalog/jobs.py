@@ -40,7 +40,7 @@ def _infos(spark, d):
 
 
 def _categories(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 7 <> 0")
+    c = table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'")
     a = c.select(F.col("c_custkey").alias("id"), F.lit("Analyst ").alias("p"), "c_nationkey", F.lit(1).alias("row"))
     b = c.select(F.col("c_custkey").alias("id"), F.lit("Ignored ").alias("p"), "c_nationkey", F.lit(2).alias("row"))
     return a.union(b).select("id", F.concat("p", (F.col("c_nationkey") % 4).cast("string")).alias("category"), "row")
@@ -184,7 +184,7 @@ _INFO = (
     CASE WHEN c_nationkey % 8 IN (0, 1) THEN '0' WHEN c_nationkey % 8 - 1 < 3 THEN '1~2'
          WHEN c_nationkey % 8 - 1 < 5 THEN '3~4' ELSE '5+' END AS min_experience,
     {_DIST}[c_custkey % 9 + 1] AS district,
-    CASE WHEN c_custkey % 7 <> 0 THEN 'Analyst ' || (c_nationkey % 4) END AS category
+    CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'Analyst ' || (c_nationkey % 4) END AS category
   FROM customer WHERE c_custkey IN (SELECT id FROM seg)
 )"""
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, hits
+from ..operators.skew import attach
 from .tables import r6, rounded, table
 
 
@@ -35,7 +36,7 @@ def cooccurrence(spark, d):
 def pair_mean(spark, d):
     """Mean order price over the orders that hold both suppliers."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("price"))
-    out = hits.cooccurrence(_hits(spark, d).join(o, "doc_id"), "price")
+    out = hits.cooccurrence(attach(_hits(spark, d), o, ["doc_id"], "inner"), "price")
     return rounded(out, "mean_price")
 
 
@@ -113,7 +114,7 @@ def link_table(spark, d):
     from ..operators.relational import scaled
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("price"))
-    edges = hits.cooccurrence(_hits(spark, d).join(o, "doc_id"), "price")
+    edges = hits.cooccurrence(attach(_hits(spark, d), o, ["doc_id"], "inner"), "price")
     return rounded(scaled(edges, "weight", "width").select("a", "b", "width", "mean_price"), "width", "mean_price")
 
 

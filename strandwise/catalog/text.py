@@ -94,12 +94,12 @@ def listed_entities(spark, d):
 
 
 def _fenced(spark, d):
-    """Fenced JSON of two lists from part names; every tenth text is broken."""
+    """Fenced JSON of two lists from part names; those of one part type are broken."""
     p = table(spark, d, "part")
     words = F.split("p_name", " ")
     body = F.to_json(F.array(F.slice(words, 1, 1), F.array(F.col("p_type"), F.element_at(words, 2))))
     good = F.concat(F.lit(f"{FENCE}json\n"), body, F.lit(f"\n{FENCE}"))
-    return p.select(F.when(F.col("p_size") % 10 == 0, F.lit(f"{FENCE}json\n[[\"oops")).otherwise(good).alias("response"))
+    return p.select(F.when(F.col("p_type") == "PROMO", F.lit(f"{FENCE}json\n[[\"oops")).otherwise(good).alias("response"))
 
 
 def json_entities(spark, d):
@@ -148,7 +148,7 @@ _WORDS = """wrd AS (SELECT conv_id, role, unnest(string_split_regex(text, '\\s+'
 _ENT = (
     _WORDS
     + """, listed AS (SELECT DISTINCT replace(word, ' ', '') AS term, CASE role WHEN 'user' THEN 'PERSON' ELSE upper(role) END AS type
-  FROM wrd WHERE word <> ''), good AS (SELECT string_split(p_name, ' ') AS w, p_type FROM part WHERE p_size % 10 <> 0),
+  FROM wrd WHERE word <> ''), good AS (SELECT string_split(p_name, ' ') AS w, p_type FROM part WHERE p_type <> 'PROMO'),
   js AS (SELECT DISTINCT w[1] AS term, 'PERSON' AS type FROM good UNION SELECT p_type, 'LOC' FROM good UNION SELECT w[2], 'LOC' FROM good),
   both_ AS (SELECT * FROM listed UNION SELECT * FROM js)"""
 )
