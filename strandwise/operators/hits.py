@@ -123,6 +123,7 @@ def term_correlation(hits: DataFrame, n_docs: Column | int) -> DataFrame:
     Pairs that never meet correlate at zero or below, so the sparse pairs suffice
     for every graph built on positive weights.
     """
+    hits = cut_lineage(hits.select("doc_id", "term"))  # read for sizes, pairs and counts
     pairs = cut_lineage(cooccurrence(hits))
     hot_a, hot_b = hot_keys(pairs, ["a"]), hot_keys(pairs, ["b"])
     n = hits.groupBy("term").agg(F.count_distinct("doc_id").alias("_n"))
