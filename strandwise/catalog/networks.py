@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, hits
-from ..operators.skew import attach
+from ..operators.skew import attach, cut_lineage
 from .tables import r6, rounded, table
 
 
@@ -81,7 +81,7 @@ def simple_edges(spark, d):
 
 
 def _communities(spark, d):
-    edges = graphs.filter_edges_quantile(_count_edges(spark, d), 0.9)
+    edges = cut_lineage(graphs.filter_edges_quantile(_count_edges(spark, d), 0.9))
     return edges, graphs.communities(edges)
 
 
