@@ -169,6 +169,8 @@ def blocks(html: str | None) -> list[Block]:
             continue
         own, label = _own(tag, m[3])
         above = stack[-1]
+        if tag in ("header", "footer", "aside", "form"):
+            own = own | {f"in:{tag}@{'article' if 'in:article' in above[1] or 'in:main' in above[1] else 'page'}"}
         stack.append((tag, above[1] | own, label or above[2], above[3] or tag in UNSEEN))
         in_link += tag == "a"
     text(html[at:])
@@ -219,7 +221,7 @@ class Field:
         return labels[::-1]
 
 
-def fit(pages: list[str], steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> Field:
+def fit(pages: list[str], steps: int = 150, rate: float = 0.15, decay: float = 5e-4) -> Field:
     """Maximum likelihood (with a Gaussian prior) on labelled pages."""
     parsed = [p for p in ([b for b in blocks(h) if b.label] for h in pages) if p]
     names = sorted({f for p in parsed for b in p for f in b.features} | {"bias"})
@@ -281,6 +283,9 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
     def attributes(*names: str) -> str:
         return pick("", f' class="{pick(*names)}"', f' class="{pick(*names)}"', f' id="{pick(*names)}"', f' class="{words(1, 1)} {pick(*names)}"')
 
+    def neutral() -> str:
+        return f' {pick("class", "id")}="{pick("page", "container", "wrapper", "row", "col", "inner", "block", "box", words(1, 1))}"'
+
     def wrap(body: str, tag: str, names: tuple[str, ...], plain: float, label: str = "other") -> str:
         """A labelled element that shows what it is by its tag or only by its names."""
         if chance(plain):
@@ -291,7 +296,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
         return wrap(pick(f"<ul>{links(3, 9)}</ul>", links(3, 9, "span"), links(2, 6, "div")), "nav", ("nav", "menu", "main-menu", "breadcrumbs", "navbar", "pagination"), 0.7)
 
     def banner() -> str:
-        return wrap(pick(f"<h1>{words(1, 3)}</h1>", f"<p>{words(2, 6)}</p>") + pick("", menu()), "header", ("site-header", "masthead", "header", "topbar", "brand"), 0.7)
+        return wrap(pick(f"<h1>{words(1, 3)}</h1>", f"<p>{words(2, 6)}</p>", words(1, 4), f"<a href='/'>{words(1, 3)}</a>") + pick("", menu()), "header", ("site-header", "masthead", "header", "topbar", "brand"), 0.7)
 
     def foot() -> str:
         body = pick(f"&copy; {words(1, 2)} {pick('', '&middot; ' + sentences(1, 2))}", f"<p>&copy; 2020 {words(2, 5)}</p><ul>{links(2, 5)}</ul>", f"<p>{sentences(1, 3)}</p>")
@@ -310,7 +315,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
         return f'<{(t := pick("div", "div", "section", "p" if body[0] != "<" else "div"))} {pick("class", "id", "role", "class")}="{pick("cookie-notice", "cookie", "notice", "consent", "gdpr-banner", "alert", "newsletter", "subscribe-box", "paywall", "popup", "announcement", "cookie-banner")}" data-label="other">{body}</{t}>'
 
     def form() -> str:
-        body = f"<label>{words(1, 3)}</label><input name='q'>" * rng.randint(1, 2) + pick("", f"<p>{sentences(1, 2)}</p>") + f"<button>{words(1, 2)}</button>"
+        body = pick(f"<label>{words(1, 3)}</label><input name='q'>" * rng.randint(1, 2), "<input name='e'>") + pick("", f"<p>{sentences(1, 2)}</p>", f"<p>{words(2, 6)}</p>") + f"<button>{words(1, 2)}</button>"
         return f'<form{attributes("search", "login", "newsletter-form", "contact-form")} data-label="other">{body}</form>'
 
     def comments() -> str:
@@ -336,6 +341,9 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
                 parts.append(pick(advert, advert, notice, form, side, share)())
         if chance(0.2):
             parts.append(pick(comments, share)())
+        if chance(0.3):  # nothing but the text says that this is the article
+            t = pick("div", "div", "section", "td")
+            return f'<{t}{pick("", neutral(), neutral())} data-label="main">{"".join(parts)}</{t}>'
         if chance(0.55):
             return f'<article{attributes("post", "entry", "story", "article")} data-label="main">{"".join(parts)}</article>'
         if chance(0.35):
@@ -346,7 +354,20 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
         before = [f() for f in (banner, menu, notice, advert, form, share) if chance(0.45)]
         after = [f() for f in (comments, side, advert, notice, form, share, foot, foot) if chance(0.45)]
         rng.shuffle(before)
-        body = "".join(before) + (f"<{(t := pick('main', 'div'))}>{article()}{pick('', side())}</{t}>" if chance(0.4) else article()) + "".join(after)
+        if chance(0.12):
+            before, after = [], []
+        if chance(0.1):  # paragraphs straight in the body
+            middle = "".join(f'<p data-label="main">{sentences(1, 6)}</p>' for _ in range(rng.randint(1, 8)))
+        else:
+            middle = f"<{(t := pick('main', 'div'))}>{article()}{pick('', side())}</{t}>" if chance(0.4) else article()
+        if chance(0.1):  # laid out by a table
+            rest = "".join(f'<td{pick("", neutral())}>{f()}</td>' for f in (menu, side, menu) if chance(0.5))
+            middle = f"<table{pick('', neutral())}><tr>{rest}<td>{middle}</td></tr></table>"
+        body = "".join(before) + middle + "".join(after)
+        if chance(0.4):
+            body = f"<div{neutral()}>{body}</div>"
+        if chance(0.05):
+            return body
         return f"<html><head><title>{words(1, 5)}</title></head><body>{body}" + pick("</body></html>", "")
 
     return [page() for _ in range(n)]

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import bucket_of, settled
 
 DEPTH = 5
-MIN_SHARE = 2e-5
-MIN_GAIN = 1e-6
+MIN_SHARE = 5e-6
+MIN_GAIN = 2e-7
 #: Counts of a (context, symbol) below this part of the least context are left to the smoothing.
-FINE = 64
-SMOOTH = 16.0
+FINE = 16
+SMOOTH = 8.0
 WORD_SHARE = 2e-6
 N_SYMBOLS = 257
 BITS = 9
