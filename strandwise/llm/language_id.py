@@ -189,7 +189,8 @@ def _training_words(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         for b in batches:
             for lang, texts in b.groupby("lang", sort=False)["text"]:
                 counts = Counter(w for t in texts for w in words_of(t))
-                yield pd.DataFrame({"lang": lang, "word": list(counts), "n": list(counts.values())})
+                if counts:
+                    yield pd.DataFrame({"lang": lang, "word": list(counts), "n": list(counts.values())})
 
     words = sample.select("lang", "text").mapInPandas(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return settled(words), {r["lang"]: r["_docs"] for r in sizes.collect()}

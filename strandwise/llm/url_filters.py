@@ -108,7 +108,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     under = sweep(points, hosts).select("host", F.explode("active").alias("grp"))
     paths = urls.join(under, "host").select("grp", F.concat("grp", F.lit(" "), "path").alias("key"), "host", "path")
     rows = sweep(paths, ruled.select(F.col("hkey").alias("grp"), F.concat("hkey", F.lit(" "), "path").alias("key")).distinct())
-    best = rows.select("host", "path", "grp", F.expr("substring(element_at(active, -1), length(grp) + 2)").alias("_path"))
+    best = rows.select("host", "path", "grp", F.expr("substring(get(active, size(active) - 1), length(grp) + 2)").alias("_path"))
     longest = best.groupBy("host", "path").agg(
         F.max_by(F.struct("grp", "_path"), F.struct(F.length("grp") - 1 + F.length("_path"), F.length("grp"))).alias("_r")
     ).select("host", "path", F.col("_r.grp").alias("hkey"), F.col("_r._path").alias("rpath"))
