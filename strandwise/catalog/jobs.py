@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational
-from ..operators.skew import attach
+from ..operators.skew import attach, cut_lineage
 from ..plans import jobs
 from .tables import longs, rounded, table
 
@@ -40,9 +40,11 @@ def _infos(spark, d):
 
 
 def _categories(spark, d):
-    c = table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'")
-    a = c.select(F.col("c_custkey").alias("id"), F.lit("Analyst ").alias("p"), "c_nationkey", F.lit(1).alias("row"))
-    b = c.select(F.col("c_custkey").alias("id"), F.lit("Ignored ").alias("p"), "c_nationkey", F.lit(2).alias("row"))
+    """Two category rows per job; a MACHINERY job's rows carry an id that no job has."""
+    c = table(spark, d, "customer")
+    key = F.when(F.col("c_mktsegment") == "MACHINERY", -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    a = c.select(key.alias("id"), F.lit("Analyst ").alias("p"), "c_nationkey", F.lit(1).alias("row"))
+    b = c.select(key.alias("id"), F.lit("Ignored ").alias("p"), "c_nationkey", F.lit(2).alias("row"))
     return a.union(b).select("id", F.concat("p", (F.col("c_nationkey") % 4).cast("string")).alias("category"), "row")
 
 
@@ -68,8 +70,8 @@ def job_topics(spark, d):
 
 
 def job_summary(spark, d):
-    s = jobs.job_summary(_info(spark, d), jobs.job_topics(_topics(spark, d)), _salaries(spark, d))
-    return rounded(s, "salary")
+    topic = cut_lineage(jobs.job_topics(_topics(spark, d)))
+    return rounded(jobs.job_summary(_info(spark, d), topic, _salaries(spark, d)), "salary")
 
 
 def category_keywords(spark, d):
@@ -79,7 +81,7 @@ def category_keywords(spark, d):
 def label_rate(spark, d):
     out = relational.label_rate(_info(spark, d), jobs.job_topics(_topics(spark, d)), "id", "topic_category")
     txt = F.concat(text.comma(F.col("n")), F.lit("\n("), text.percent(F.col("rate"), 0), F.lit(")"))
-    return rounded(out, "rate").withColumn("has_text", txt.isNotNull())
+    return rounded(out, "rate").withColumn("label_text", txt)
 
 
 def label_rate_by_segment(spark, d):
@@ -121,9 +123,9 @@ def top_topics_per_industry(spark, d):
 
 
 def _features(spark, d):
-    s = jobs.job_summary(_info(spark, d), jobs.job_topics(_topics(spark, d)), _salaries(spark, d))
-    long = s.select("id", F.explode(text.label_items(F.col("topic_category"))).alias("label")).distinct()
-    return s, long
+    """Jobs with pay, and their labels, from the long topic table."""
+    topic = cut_lineage(jobs.job_topics(_topics(spark, d)))
+    return jobs.job_pay(_info(spark, d), topic, _salaries(spark, d)), jobs.job_labels(topic, "topic_category")
 
 
 def topic_indicators(spark, d):
@@ -236,10 +238,10 @@ SQL = {
     "job_info": f"WITH {_INFO} SELECT * FROM info",
     "job_topics": f"WITH {_TOP} SELECT * FROM topic",
     "job_summary": f"""WITH {_SUM} SELECT id, industry, education, management, min_experience, district, category,
-        "desc", CAST(0 AS BIGINT) AS chunk_no, topic_name, topic_category, round(salary, 6) AS salary FROM summ""",
+        "desc", topic_name, topic_category, round(salary, 6) AS salary FROM summ""",
     "category_keywords": f"""WITH {_TOP}, k AS (SELECT topic_category, topic_name, min(first_index) AS o FROM topic GROUP BY 1, 2)
         SELECT topic_category || ': ' || string_agg(topic_name, ', ' ORDER BY o) AS text FROM k GROUP BY topic_category""",
-    "label_rate": f"WITH {_ALL_RATE} SELECT topic_category, n, total, round(rate, 6) AS rate, true AS has_text FROM ar",
+    "label_rate": f"WITH {_ALL_RATE} SELECT topic_category, n, total, round(rate, 6) AS rate, format('{{:,}}', n) || chr(10) || '(' || format('{{:.0f}}', round(100 * rate)) || '%)' AS label_text FROM ar",
     "label_rate_by_segment": f"WITH {_SEG_RATE} SELECT category, topic_category, n, total, round(rate, 6) AS rate FROM sr",
     "label_rate_pivot": f"""WITH {_SEG_RATE} SELECT category,
         round(max(rate) FILTER (topic_category = 'AD/GA'), 6) AS ad_ga,

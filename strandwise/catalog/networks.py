@@ -19,9 +19,9 @@ def _n_docs(spark, d):
 
 
 def term_hits(spark, d):
-    """Benchmark words of three or more characters found anywhere in document texts."""
+    """Benchmark words of two or more characters found anywhere in document texts."""
     words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term")).distinct()
-    found = hits.term_hits(table(spark, d, "documents"), "doc_id", "text", words.where(F.char_length("term") > 2))
+    found = hits.term_hits(table(spark, d, "documents"), "doc_id", "text", words.where(F.char_length("term") > 1))
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("doc_sum"))
 
 
@@ -76,7 +76,7 @@ def vertex_degree(spark, d):
 def simple_edges(spark, d):
     """Loops and parallel edges merged: suppliers against part numbers as one id space."""
     li = table(spark, d, "lineitem")
-    raw = li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"), F.lit(1).alias("weight"))
+    raw = li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit(1).alias("weight"))
     return graphs.simplify_edges(raw)
 
 
@@ -114,7 +114,7 @@ def link_table(spark, d):
     from ..operators.relational import scaled
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("price"))
-    edges = hits.cooccurrence(attach(_hits(spark, d), o, ["doc_id"], "inner"), "price")
+    edges = cut_lineage(hits.cooccurrence(attach(_hits(spark, d), o, ["doc_id"], "inner"), "price"))
     return rounded(scaled(edges, "weight", "width").select("a", "b", "width", "mean_price"), "width", "mean_price")
 
 
@@ -159,7 +159,7 @@ def hierarchy_depth(spark, d):
 
 
 def _members(spark, d, depth=4):
-    depths = graphs.depth_from(hierarchy_edges(spark, d), F.lit(1))
+    depths = graphs.depth_from(hierarchy_edges(spark, d), F.lit(1), max_depth=depth)
     return graphs.members_at_depth(_tree(spark, d), depths, "parent", "topics", depth)
 
 
@@ -173,7 +173,7 @@ def words_at_depth(spark, d):
 def topic_share(spark, d):
     """Cluster shares per run of 50 part numbers."""
     docs = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("chapter"), F.col("p_size").cast("long").alias("topic"))
-    return rounded(graphs.topic_share(docs, _members(spark, d), "chapter", "topic", 50), "share")
+    return rounded(graphs.topic_share(docs, cut_lineage(_members(spark, d)), "chapter", "topic", 50), "share")
 
 
 def hierarchy_layout(spark, d):
@@ -223,7 +223,7 @@ _REG = """reg AS (SELECT 'root' AS source, 'r' || r_regionkey AS target FROM reg
 SQL = {
     "term_hits": """WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS term FROM benchmark)
         SELECT term, count(*) AS n_docs, CAST(sum(doc_id) AS BIGINT) AS doc_sum FROM documents JOIN w ON contains(text, term)
-        WHERE length(term) > 2 GROUP BY 1""",
+        WHERE length(term) > 1 GROUP BY 1""",
     "doc_freq": f"WITH {_HITS} SELECT term, count(*) AS n_docs, round(ln(count(*)), 6) AS log_docs FROM hits GROUP BY 1",
     "cooccurrence": f"WITH {_CO} SELECT * FROM co",
     "pair_mean": f"WITH {_PRICED} SELECT a, b, weight, round(mean_price, 6) AS mean_price FROM pc",
@@ -235,8 +235,8 @@ SQL = {
     "degree_filter": f"""WITH {_CO}, {_MED.format(q=0.95)}, {_DEG.format(t="med")} SELECT a AS src, b AS dst, weight FROM med
         JOIN deg x ON x.id = a JOIN deg y ON y.id = b WHERE x.degree >= 5 AND y.degree >= 5""",
     "vertex_degree": f"WITH {_CO}, {_MED.format(q=0.95)}, {_DEG.format(t='med')} SELECT id, degree FROM deg",
-    "simple_edges": """SELECT least(l_suppkey, l_partkey % 50) AS src, greatest(l_suppkey, l_partkey % 50) AS dst,
-        count(*) AS weight FROM lineitem WHERE l_suppkey <> l_partkey % 50 GROUP BY 1, 2""",
+    "simple_edges": """SELECT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst,
+        count(*) AS weight FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2""",
     "region_modularity": f"""WITH {_CO}, g AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, n_regionkey AS c FROM supplier
           JOIN nation ON s_nationkey = n_nationkey), m AS (SELECT sum(weight) AS m FROM co),
         e AS (SELECT x.c AS ca, y.c AS cb, weight FROM co JOIN g x ON x.id = a JOIN g y ON y.id = b),

@@ -167,7 +167,7 @@ def customer_status_list(spark, d):
     """Statuses of a customer's orders in order, as JSON text."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     lists = relational.ordered_lists(o, ["o_custkey"], ["o_orderkey"], "o_orderstatus", "v")
-    return lists.select("o_custkey", "chunk_no", F.to_json(F.array("v")).alias("statuses"))
+    return lists.select("o_custkey", F.to_json(F.array("v")).alias("statuses"))
 
 
 def status_set(spark, d):
@@ -310,7 +310,7 @@ SQL = {
     "last_and_first": """SELECT o_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS first_status,
         arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status, min(o_totalprice) AS low,
         max(o_totalprice) AS high FROM orders GROUP BY 1""",
-    "customer_status_list": """SELECT o_custkey, CAST(0 AS BIGINT) AS chunk_no,
+    "customer_status_list": """SELECT o_custkey,
         '[[' || string_agg('"' || o_orderstatus || '"', ',' ORDER BY o_orderkey) || ']]' AS statuses
         FROM orders GROUP BY 1""",
     "status_set": """SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS statuses

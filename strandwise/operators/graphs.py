@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .skew import attach, cut_lineage, hot_keys, null_safe_join, numbered
 
-ROUNDS = 200
-
 
 def hierarchy_edges(h: DataFrame, parent: str, left: str, right: str) -> DataFrame:
     """(parent, left, right) rows to (source, target) edges."""
@@ -27,26 +25,31 @@ def both_ways(edges: DataFrame, src: str, dst: str, *more: str) -> DataFrame:
     return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), *more).unionByName(back)
 
 
-def depth_from(edges: DataFrame, root: Column, src: str = "source", dst: str = "target") -> DataFrame:
+def depth_from(
+    edges: DataFrame, root: Column, src: str = "source", dst: str = "target", max_depth: int | None = None
+) -> DataFrame:
     """Steps from the root to every vertex it reaches, ignoring edge direction.
 
-    One join of the last frontier per round; only new vertices move on.
+    One join of the last frontier per round; only new vertices move on. The walk ends
+    when nothing new is reached, or at ``max_depth`` where only the top is wanted.
     """
     adjacent = cut_lineage(both_ways(edges, src, dst).where("src <> dst").distinct())
     hot = hot_keys(adjacent, ["src"])
     kind = adjacent.schema["src"].dataType
     frontier = adjacent.select(root.cast(kind).alias("id")).limit(1).withColumn("depth", F.lit(0))
     seen = frontier = cut_lineage(frontier)
-    for depth in range(1, ROUNDS):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         reach = attach(adjacent, frontier.select(F.col("id").alias("src")), ["src"], "inner", hot)
         fresh = reach.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
+            break
         seen = seen.unionByName(frontier)
         if depth % 10 == 0:
             seen = cut_lineage(seen)
-    raise ValueError(f"hierarchy deeper than {ROUNDS}")
+    return seen
 
 
 def members_at_depth(h: DataFrame, depths: DataFrame, parent: str, topics: str, depth: int) -> DataFrame:
@@ -90,36 +93,63 @@ def topic_share(docs: DataFrame, members: DataFrame, chapter: str, topic: str, w
     return known.select(F.col("chapter").cast("long").alias("chapter"), "cluster", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
+def _chained(lines: DataFrame) -> DataFrame:
+    """Compose y = a * y(next) + b along runs of parents that each wait for one child.
+
+    Pointers double in each round, so a run of n parents takes log2(n) rounds; a run
+    that has not ended by then is a cycle.
+    """
+    lines = cut_lineage(lines)
+    for _ in range(lines.count().bit_length() + 1):
+        ahead = lines.select(F.col("p").alias("next"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("next").alias("_next"))
+        joined = cut_lineage(lines.join(ahead, "next", "left"))
+        if joined.where("_a is not null").isEmpty():
+            return lines
+        lines = joined.select(
+            "p",
+            (F.col("a") * F.coalesce("_a", F.lit(1.0))).alias("a"),
+            (F.col("b") + F.col("a") * F.coalesce("_b", F.lit(0.0))).alias("b"),
+            F.coalesce("_next", "next").alias("next"),
+        )
+    raise ValueError("the hierarchy has a cycle")
+
+
 def hierarchy_layout(h: DataFrame, parent: str, left: str, right: str, height: str) -> DataFrame:
     """Dendrogram lines bottom-up: (p, pend, x, xend, y, yend).
 
     A leaf's y is its rank by the height of its parent; a parent's y is the mean of
-    its children. Each round places the parents whose children are both placed.
+    its children. A round places the parents whose children are placed, and whole runs
+    of parents that wait for one child each, so the rounds grow with the logarithm of
+    the vertices, however deep the tree is.
     """
     edges = cut_lineage(
         h.select(F.col(parent).alias("pend"), F.col(height).alias("xend"), F.inline(F.array(
-            F.struct(F.col(left).alias("p")), F.struct(F.col(right).alias("p")))))
-    )
-    parents = edges.select(F.col("pend").alias("p")).distinct()
-    leaves = edges.join(parents, "p", "left_anti")
-    placed = numbered(leaves.select("p", "xend"), ["xend", "p"], "_r").select(
-        "p", F.col("_r").cast("double").alias("y"), F.lit(0.0).alias("x")
+            F.struct(F.col(left).alias("p")), F.struct(F.col(right).alias("p"))))).where("p is not null")
     )
-    waiting = cut_lineage(edges.select("pend").distinct())
-    fresh = placed
-    for _ in range(ROUNDS):
-        known = edges.join(waiting, "pend", "left_semi").join(placed, "p")
-        ready = known.groupBy("pend").agg(
-            F.count(F.lit(1)).alias("_n"), F.avg("y").alias("y"), F.max("xend").cast("double").alias("x")
-        ).where("_n = 2")
-        fresh = cut_lineage(ready.select(F.col("pend").alias("p"), "y", "x"))
+    heights = edges.groupBy(F.col("pend").alias("p")).agg(F.max("xend").cast("double").alias("x"))
+    leaves = edges.join(heights.select("p"), "p", "left_anti")
+    placed = numbered(leaves.select("p", "xend"), ["xend", "p"], "_r").select("p", F.col("_r").cast("double").alias("y"))
+    placed = cut_lineage(placed)
+    waiting = cut_lineage(heights.select(F.col("p").alias("pend")))
+    while not waiting.isEmpty():
+        known = edges.join(waiting, "pend", "left_semi").join(placed, "p", "left").groupBy("pend").agg(
+            F.count(F.lit(1)).alias("_n"), F.count("y").alias("_k"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("_s"),
+            F.max(F.when(F.col("y").isNull(), F.col("p"))).alias("next"),
+        )
+        known = cut_lineage(known)
+        ready = known.where("_n = _k").select(F.col("pend").alias("p"), (F.col("_s") / F.col("_n")).alias("y"))
+        runs = _chained(known.where("_n - _k = 1").select(
+            F.col("pend").alias("p"), (1.0 / F.col("_n")).alias("a"), (F.col("_s") / F.col("_n")).alias("b"), "next"
+        ))
+        ended = runs.join(ready.select(F.col("p").alias("next"), F.col("y").alias("_y")), "next")
+        fresh = cut_lineage(ready.unionByName(ended.select("p", (F.col("a") * F.col("_y") + F.col("b")).alias("y"))))
         if fresh.isEmpty():
-            break
+            raise ValueError("the hierarchy has a cycle")
         placed = cut_lineage(placed.unionByName(fresh))
         waiting = cut_lineage(waiting.join(fresh.select(F.col("p").alias("pend")), "pend", "left_anti"))
     top = placed.select(F.col("p").alias("pend"), F.col("y").alias("yend"))
-    return edges.join(placed, "p").join(top, "pend").select(
-        "p", "pend", "x", F.col("xend").cast("double").alias("xend"), "y", "yend"
+    return edges.join(placed, "p").join(heights, "p", "left").join(top, "pend").select(
+        "p", "pend", F.coalesce("x", F.lit(0.0)).alias("x"), F.col("xend").cast("double").alias("xend"), "y", "yend"
     )
 
 
@@ -158,34 +188,38 @@ def filter_vertices(edges: DataFrame, least_degree: int) -> DataFrame:
     return attach(kept, dst, ["dst"], "left_semi", hot_keys(edges, ["dst"]))
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
     """Communities by weighted label propagation, deterministic.
 
-    A vertex takes the label with the largest summed edge weight among its
-    neighbours, keeps its own on a tie, and otherwise prefers the smaller label.
-    Half of the vertices (by hash) move in each round, so labels cannot swap for ever.
+    A vertex wants the label with the largest summed edge weight among its neighbours
+    (of equal ones the smallest) if that is more than its own label's weight. Of
+    neighbours that want to move, only the one with the largest gain moves (of equal
+    ones the smallest id). So each move raises the weight of the edges within
+    labels by its gain, labels cannot swap for ever, and the rounds end when nobody
+    gains.
     """
-    links = cut_lineage(both_ways(edges, "src", "dst", "weight"))
+    links = cut_lineage(both_ways(edges, "src", "dst", "weight").where("src <> dst"))
     hot = hot_keys(links, ["src"])
-    labels = cut_lineage(links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    quiet = 0
-    for step in range(rounds):
+    labels = cut_lineage(both_ways(edges, "src", "dst").select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    while True:
         heard = attach(links, labels.withColumnRenamed("id", "src"), ["src"], "inner", hot)
         votes = heard.groupBy(F.col("dst").alias("id"), "label").agg(F.round(F.sum("weight"), 9).alias("_w"))
-        own = labels.select("id", F.col("label").alias("_own"))
-        ranked = votes.join(own, "id").groupBy("id", "_own").agg(
-            F.min_by("label", F.struct(-F.col("_w"), (F.col("label") != F.col("_own")).cast("int"), F.col("label"))).alias("_best")
+        ranked = votes.join(labels.withColumnRenamed("label", "_own"), "id").groupBy("id").agg(
+            F.min(F.struct((-F.col("_w")).alias("w"), "label")).alias("_best"),
+            F.coalesce(F.max(F.when(F.col("label") == F.col("_own"), F.col("_w"))), F.lit(0)).alias("_now"),
+        )
+        wish = ranked.select("id", F.col("_best.label").alias("label"), (-F.col("_best.w") - F.col("_now")).alias("gain"))
+        wish = cut_lineage(wish.where("gain > 0"))
+        if wish.isEmpty():
+            return labels.select("id", F.col("label").alias("community"))
+        near = attach(links, wish.select(F.col("id").alias("src"), "gain"), ["src"], "inner", hot)
+        rival = near.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("src").alias("id"))).alias("_first"))
+        moves = wish.join(rival, "id", "left").where(
+            F.col("_first").isNull() | (F.struct((-F.col("gain")).alias("g"), F.col("id").alias("id")) < F.col("_first"))
+        )
+        labels = cut_lineage(
+            labels.join(moves.select("id", F.col("label").alias("_new")), "id", "left").select("id", F.coalesce("_new", "label").alias("label"))
         )
-        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2
-        after = cut_lineage(ranked.select(
-            "id", F.when(moves, F.col("_best")).otherwise(F.col("_own")).alias("label"),
-            (moves & (F.col("_best") != F.col("_own"))).alias("_moved"),
-        ))
-        quiet = quiet + 1 if after.where("_moved").isEmpty() else 0
-        labels = after.drop("_moved")
-        if quiet == 2:
-            break
-    return labels.select("id", F.col("label").alias("community"))
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:

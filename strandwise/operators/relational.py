@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach, cut_lineage, numbered, pick_hot, running, with_stats
+from .skew import attach, cut_lineage, numbered, pick_hot, with_stats
 
 
 def first_by_key(dim: DataFrame, key: str, order: str) -> DataFrame:
@@ -177,22 +177,14 @@ def indicators(df: DataFrame, id_col: str, label: str, prefix: str, values: list
     return df.groupBy(id_col).agg(*cols)
 
 
-def ordered_lists(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, chunk: int = 10_000
-) -> DataFrame:
-    """Values per key as arrays in order, at most ``chunk`` values in one row.
+def ordered_lists(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """One row per key with its values as an array in order, whatever the length.
 
-    Ordinary keys give one row (``chunk_no`` 0); a huge key continues in further
-    rows, so nothing is dropped and no array grows without bound.
+    The array is the result that is asked for; profiles and rates are counted from
+    the long table instead, so only callers that want lists hold one.
     """
-    placed = running(df, keys, order, _at=F.lit(1))
-    placed = placed.withColumn("chunk_no", F.floor(F.col("_at") / chunk).cast("long"))
-    items = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(value).alias("_v"))))
-    return (
-        placed.groupBy(*keys, "chunk_no")
-        .agg(items.alias("_items"))
-        .select(*keys, "chunk_no", F.transform("_items", lambda s: s["_v"]).alias(name))
-    )
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    return df.groupBy(*keys).agg(items.alias("_items")).select(*keys, F.transform("_items", lambda s: s["_v"]).alias(name))
 
 
 def repeat_to_total(col: Column, unit: float) -> Column:

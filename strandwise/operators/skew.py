@@ -9,14 +9,16 @@ Every other key fits comfortably into one task.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MIN_ROWS_CONF = "strandwise.hot.minRows"
 MIN_ROWS = 1_000_000
 MAX_HOT = 100_000
+#: Slices of a hot key per part, and boundaries that one step of the search for a slice reads.
+SLICES, STEP = 4, 512
+#: Checkpoint folder of local sessions that name none; a cluster has to name a shared one.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def pick_hot(counts: DataFrame) -> DataFrame | None:
@@ -55,6 +57,11 @@ def with_parts(df: DataFrame, hot: DataFrame, keys: list[str], *cols: str) -> Da
     return null_safe_join(df, F.broadcast(hot.select(*keys, *cols)), keys)
 
 
+def _hashable(df: DataFrame) -> list[Column]:
+    """The columns as hash input; maps, which Spark does not hash, as their JSON text."""
+    return [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+
+
 _ASK = object()
 
 
@@ -63,14 +70,15 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", h
 
     Rows of a hot key get a salt from a hash of the whole row (stable when a task
     is run again), and the matching rows of ``side`` are repeated once per salt.
-    Other keys join as usual. Loops pass the ``hot_keys`` result they already have.
+    Rows that are equal in every column share a salt. Other keys join as usual.
+    Loops pass the ``hot_keys`` result they already have.
     """
     if hot is _ASK:
         hot = hot_keys(df, keys)
     if hot is None:
         return df.join(side, keys, how)
     salted = with_parts(df, hot, keys, "_parts").withColumn(
-        "_salt", F.pmod(F.xxhash64(*df.columns), F.coalesce("_parts", F.lit(1)))
+        "_salt", F.pmod(F.xxhash64(*_hashable(df)), F.coalesce("_parts", F.lit(1)))
     )
     copies = with_parts(side, hot, keys, "_parts").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))
@@ -90,23 +98,36 @@ def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
     return attach(df, table.drop("_rows"), keys, "left", pick_hot(table.select(*keys, "_rows")))
 
 
+def _slice_of(value: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts lie below the value; reads two short runs of them."""
+    heads = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / STEP).cast("int")), lambda i: F.get(cuts, i * STEP))
+    group = F.greatest(F.size(F.filter(heads, lambda h: h < value)) - 1, F.lit(0))
+    return group * STEP + F.size(F.filter(F.slice(cuts, group * STEP + 1, STEP), lambda c: c < value))
+
+
 def blocked(df: DataFrame, keys: list[str], order: Column) -> tuple[DataFrame, bool]:
     """Add ``_block``: 0 for ordinary keys, a rising slice number inside hot keys.
 
-    ``order`` is the numeric leading sort value. A hot key is cut into equal
-    slices of its own value range, so that (key, block) is a balanced grouping
-    that still follows the order. Returns the frame and whether any key is hot.
+    ``order`` is the numeric leading sort value. A hot key is cut at quantiles of its own
+    values (equal values stay in one slice), so that (key, block) is a balanced grouping
+    that still follows the order, whatever outliers there are. Keys of like size are cut
+    together, so all boundaries are within 16 times the parts (see the module text).
+    Returns the frame and whether any key is hot.
     """
     src = df.withColumn("_ord", order.cast("double"))
-    hot = hot_keys(src, keys, _lo=F.min("_ord"), _hi=F.max("_ord"))
+    hot = hot_keys(src, keys)
     if hot is None:
         return src.withColumn("_block", F.lit(0).cast("long")).drop("_ord"), False
-    cut = with_parts(src, hot, keys, "_parts", "_lo", "_hi")
-    width = (F.col("_hi") - F.col("_lo")) / (F.col("_parts") * 4)
-    block = F.when(
-        F.col("_parts").isNotNull() & (width > 0), F.floor((F.col("_ord") - F.col("_lo")) / width)
-    ).otherwise(F.lit(0))
-    return cut.withColumn("_block", F.coalesce(block, F.lit(0)).cast("long")).drop("_ord", "_parts", "_lo", "_hi"), True
+    sized = hot.withColumn("_size", F.ceil(F.log2("_parts")).cast("int"))
+    cuts = None
+    for (size,) in sized.select("_size").distinct().collect():  # a row per power of two
+        n = SLICES * 2**size
+        rows = with_parts(src, sized.where(F.col("_size") == size), keys, "_size").where("_size is not null")
+        part = rows.groupBy(*keys).agg(F.percentile_approx("_ord", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("_cuts"))
+        cuts = part if cuts is None else cuts.unionByName(part)
+    cut = with_parts(src, cut_lineage(cuts), keys, "_cuts")
+    block = F.when(F.size("_cuts") > 0, _slice_of(F.col("_ord"), F.col("_cuts")))
+    return cut.withColumn("_block", F.coalesce(block, F.lit(0)).cast("long")).drop("_ord", "_cuts"), True
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], **sums: Column) -> DataFrame:
@@ -132,13 +153,19 @@ def running(df: DataFrame, keys: list[str], order: list[str], **sums: Column) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a scratch folder only where none is set."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A local session without one uses a folder of its machine; elsewhere executors could
+    not read such a folder, so a missing setting is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    sc.setCheckpointDir(named)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or LOCAL_CHECKPOINTS)
     return sc.getCheckpointDir()
 
 
@@ -173,6 +200,21 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "rn") -> Data
     )
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of a total order, without one task seeing all rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row per range partition
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_off") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_part", "_off")
+    )
+
+
 def scalar_of(df: DataFrame, agg: Column) -> Column:
     """One aggregate of the whole table, usable in expressions over any table."""
     return df.agg(agg.alias("_one")).scalar()

@@ -99,22 +99,31 @@ def monthly_salary(low: Column, label: Column) -> Column:
 
 
 def job_summary(info: DataFrame, topic: DataFrame, salaries: DataFrame) -> DataFrame:
-    """Job row with its first description, topic lists as JSON text, and salary.
-
-    A job with more segments than one list may hold continues in further rows
-    (``chunk_no`` 1, 2, ...).
-    """
+    """One row per job with its first description, topic lists as JSON text, and salary."""
     first = topic.groupBy("id").agg(F.min_by("desc", "first_index").alias("desc"))
     pair = topic.select("id", "first_index", "topic_name", F.struct("topic_name", "topic_category").alias("_p"))
     lists = relational.ordered_lists(pair, ["id"], ["first_index", "topic_name"], "_p", "_l")
     lists = lists.select(
         "id",
-        "chunk_no",
         F.to_json(F.array(F.transform("_l", lambda p: p["topic_name"]))).alias("topic_name"),
         F.to_json(F.array(F.transform("_l", lambda p: p["topic_category"]))).alias("topic_category"),
     )
-    pay = salaries.select("id", monthly_salary(F.col("salary_min"), F.col("salary")).alias("salary"))
-    return info.join(first, "id").join(lists, "id").join(pay, "id")
+    return info.join(first, "id").join(lists, "id").join(_pay(salaries), "id")
+
+
+def _pay(salaries: DataFrame) -> DataFrame:
+    return salaries.select("id", monthly_salary(F.col("salary_min"), F.col("salary")).alias("salary"))
+
+
+def job_pay(info: DataFrame, topic: DataFrame, salaries: DataFrame) -> DataFrame:
+    """One row per job that has topics, with its salary: what profiles are counted from."""
+    return relational.keep_matching(info, topic, ["id"]).join(_pay(salaries), "id")
+
+
+def job_labels(topic: DataFrame, column: str) -> DataFrame:
+    """Distinct (id, label) with labels cleaned as in the list text of a job."""
+    one = F.to_json(F.array(F.array(F.col(column))))
+    return topic.select("id", F.explode(text.label_items(one)).alias("label")).distinct()
 
 
 def category_overlap(info: DataFrame, topic: DataFrame) -> DataFrame:

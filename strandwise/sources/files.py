@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.skew import cut_lineage, running_total
+
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | str, header: bool = True, multiline: bool = True
+    spark: SparkSession, path: str, schema: StructType | str, header: bool = True, multiline: bool = False
 ) -> DataFrame:
     """CSV with names by position from the schema; the header line, if any, is skipped.
 
-    ``multiline`` is needed when quoted text holds line breaks, and keeps a file in
-    one task. Large inputs without such breaks should switch it off to be split.
+    Files are split over tasks. ``multiline`` is needed where quoted text holds line
+    breaks, and keeps each file in one task.
     """
     reader = spark.read.schema(schema).option("header", header).option("enforceSchema", True)
     return reader.option("multiLine", multiline).option("quote", '"').option("escape", '"').csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = True) -> DataFrame:
-    """JSON documents; a top-level array gives one row per element."""
+def read_json(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = False) -> DataFrame:
+    """JSON, one object per line. With ``multiline`` a file is one document, in one task;
+    a top-level array gives one row per element."""
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
@@ -60,12 +63,24 @@ def bind_by_key(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def numbered_rows(df: DataFrame, name: str = "row") -> DataFrame:
-    """Number the rows of a file in reading order, from 0, once at ingest.
+    """Number the rows of a file source in reading order, from 0, once at ingest.
 
-    Row-aligned files without a key get one here; from then on they join by it.
+    Files count in path order and rows in file order: a split is known by its file and
+    start, a row by its place in the split, and one offset per split is added. Row-aligned
+    files without a key get one here; from then on they join by it. The result is
+    written once, so numbers stay.
     """
-    schema = df.schema.add(name, "long", False)
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    placed = cut_lineage(df.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"),
+    ))
+    splits = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    offsets = running_total(splits, ["_file", "_start"], "_n", "_before")
+    return (
+        placed.join(offsets, ["_file", "_start"])
+        .withColumn(name, F.col("_before") + F.col("_place") - F.col("_first"))
+        .drop("_file", "_start", "_place", "_n", "_first", "_before")
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:

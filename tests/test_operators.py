@@ -82,10 +82,30 @@ def test_quantiles_match_numpy(spark, floor):
         assert np.allclose([r.q25, r.q50, r.q75], np.quantile(v, [0.25, 0.5, 0.75]))
 
 
-def test_ordered_lists_continue_in_chunks(spark):
-    df = spark.createDataFrame([("a", i, i * i) for i in range(7)] + [("b", 1, 5)], "k string, t long, v long")
-    out = relational.ordered_lists(df, ["k"], ["t"], "v", "l", chunk=3).orderBy("k", "chunk_no").collect()
-    assert [(r.k, r.chunk_no, r.l) for r in out] == [("a", 0, [0, 1, 4]), ("a", 1, [9, 16, 25]), ("a", 2, [36]), ("b", 0, [5])]
+def test_slices_of_a_hot_key_are_even(spark):
+    spark.conf.set("strandwise.hot.minRows", "100")
+    rows = [("a", float(i)) for i in range(4_000)] + [("a", 1e12), ("b", 1.0)] + [("c", 7.0)] * 300
+    out, split = skew.blocked(spark.createDataFrame(rows, "k string, t double"), ["k"], F.col("t"))
+    got = out.groupBy("k", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).collect()
+    spark.conf.unset("strandwise.hot.minRows")
+    assert split and max(r.n for r in got if r.k == "a") <= 200
+    assert [r.n for r in got if r.k == "c"] == [300] and [r._block for r in got if r.k == "b"] == [0]
+    a = sorted((r._block, r.lo, r.hi) for r in got if r.k == "a")
+    assert all(x[2] < y[1] for x, y in zip(a, a[1:]))
+
+
+def test_hot_join_takes_map_columns(spark):
+    spark.conf.set("strandwise.hot.minRows", "10")
+    df = spark.createDataFrame([("a", {"x": i}) for i in range(50)], "k string, m map<string, int>")
+    out = skew.attach(df, spark.createDataFrame([("a", 1)], "k string, v int"), ["k"])
+    assert out.where("v = 1").count() == 50
+    spark.conf.unset("strandwise.hot.minRows")
+
+
+def test_ordered_lists_are_one_row_a_key(spark):
+    df = spark.createDataFrame([("a", i, i * i) for i in reversed(range(7))] + [("b", 1, 5)], "k string, t long, v long")
+    out = relational.ordered_lists(df, ["k"], ["t"], "v", "l").orderBy("k").collect()
+    assert [(r.k, r.l) for r in out] == [("a", [i * i for i in range(7)]), ("b", [5])]
 
 
 def test_entropy_properties(spark):
@@ -284,6 +304,29 @@ def test_hierarchy(spark):
     assert got[0, 5] == (1, 0.5) and got[0, -1] == (1, 0.5) and got[1, 6] == (2, 1.0) and got[None, 5] == (1, 0.5)
 
 
+def test_deep_chain_layout(spark):
+    """Vertex k has a leaf and vertex k + 1 below it; y follows from the bottom up."""
+    n = 300
+    rows = [(k, 1000 + k, k + 1 if k < n - 1 else 2000, float(n - k)) for k in range(n)]
+    h = spark.createDataFrame(rows, "p long, l long, r long, h double")
+    out = {r.p: r for r in graphs.hierarchy_layout(h, "p", "l", "r", "h").collect()}
+    leaves = sorted([(float(n - k), 1000 + k) for k in range(n)] + [(1.0, 2000)])
+    y = {p: float(i + 1) for i, (_, p) in enumerate(leaves)}
+    for k in reversed(range(n)):
+        y[k] = (y[rows[k][1]] + y[rows[k][2]]) / 2
+    assert len(out) == 2 * n
+    assert all(math.isclose(r.y, y[p]) and math.isclose(r.yend, y[r.pend]) for p, r in out.items())
+    ring = spark.createDataFrame([(1, 2, 10, 1.0), (2, 1, 11, 1.0)], "p long, l long, r long, h double")
+    with pytest.raises(ValueError):
+        graphs.hierarchy_layout(ring, "p", "l", "r", "h")
+
+
+def test_depth_stops_where_asked(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(24)], "source long, target long")
+    assert {r.id: r.depth for r in graphs.depth_from(chain, F.lit(0)).collect()} == {k: k for k in range(25)}
+    assert graphs.depth_from(chain, F.lit(0), max_depth=3).count() == 4
+
+
 def test_small_tables(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 5.0), ("c", 7.0)], "k string, v double")
     s = {r.k: (r.u, r.s) for r in relational.scaled(relational.scaled(df, "v", "u"), "v", "s", signed=True).collect()}

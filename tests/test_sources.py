@@ -12,7 +12,7 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [(1, 'say "hi", then\nleave', None), (2, "中文", 1.5)]
     df = spark.createDataFrame(rows, "id long, t string, x double")
     sources.write_csv(df, str(tmp_path / "c"))
-    back = sources.read_csv(spark, str(tmp_path / "c"), "id long, text string, x double")
+    back = sources.read_csv(spark, str(tmp_path / "c"), "id long, text string, x double", multiline=True)
     assert sorted(tuple(r) for r in back.collect()) == rows
 
 
@@ -23,9 +23,24 @@ def test_csv_without_header_and_row_numbers(spark, tmp_path):
     assert [(r.name, r.row) for r in numbered.orderBy("row").collect()] == [("王林", 0), ("李慕婉", 1)]
 
 
+
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    """Spark packs the largest split first; numbers follow the paths all the same."""
+    (tmp_path / "f").mkdir()
+    wanted = []
+    for name, n in (("a", 10), ("b", 3_000), ("c", 60_000)):
+        lines = [f"{name}{i}" for i in range(n)]
+        wanted += lines
+        (tmp_path / "f" / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    rows = sources.numbered_rows(sources.read_csv(spark, str(tmp_path / "f"), "name string", header=False)).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.name for r in sorted(rows, key=lambda r: r.row)] == wanted and {r.row for r in rows} == set(range(len(wanted)))
+
+
 def test_json_documents(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps([{"label": "Positive", "score": 0.9}, {"label": "Negative", "score": 0.2}]))
-    got = sources.read_json(spark, str(tmp_path / "s.json"), "label string, score double")
+    got = sources.read_json(spark, str(tmp_path / "s.json"), "label string, score double", multiline=True)
     assert sorted(r.label for r in got.collect()) == ["Negative", "Positive"]
 
 
