@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import cut_lineage
+from ..operators.skew import written
 
 #: White space between words, as the word pattern excludes it.
 SPACES = " \t\n\x0b\f\r"
@@ -51,8 +51,9 @@ def bucket_of(key: Column, mod: int) -> Column:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder."""
-    return cut_lineage(df)
+    """The rows, written once to the shared checkpoint folder and read from there."""
+    return written(df)
+
 
 
 #: A side is broadcast up to this many rows and characters of text, and joined by shuffle beyond.
