@@ -11,6 +11,7 @@ from .tables import longs, r6, rounded, table
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def _orders(spark, d):
@@ -28,27 +29,26 @@ def inner_join(spark, d):
 
 
 def full_join(spark, d):
-    """Orders per customer and segment on both sides of a full join."""
-    n = table(spark, d, "orders").where("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("key")).agg(
-        F.count(F.lit(1)).alias("n_orders")
-    )
-    c = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("key"), "c_mktsegment")
+    """Orders per customer and segment on both sides of a full join; keys are shifted, so both have unmatched ones."""
+    n = table(spark, d, "orders").groupBy((F.col("o_custkey") + 7).alias("key")).agg(F.count(F.lit(1)).alias("n_orders"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment")
     return n.join(c, "key", "full_outer")
 
 
 def first_match_lookup(spark, d):
-    """Name of the first customer of a nation on each supplier; none gives null."""
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
-    c = table(spark, d, "customer").where("c_acctbal < -900")
+    """Name of the first customer of the next nation on each supplier; the last one's next gives null."""
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") + 1).alias("nation"))
+    c = table(spark, d, "customer")
     return relational.lookup(s, c, "nation", "c_name", "c_nationkey", "c_custkey", "first_customer").select(
         "s_suppkey", "first_customer"
     )
 
 
 def two_hop_lookup(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"))
+    """Region name of the next nation; the last one has none."""
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") + 1).alias("nk"))
     n = table(spark, d, "nation")
-    r = table(spark, d, "region").where("r_name <> 'ASIA'")
+    r = table(spark, d, "region")
     one = relational.lookup(c, n, "nk", "n_regionkey", "n_nationkey", "n_nationkey", "rk")
     two = relational.lookup(one, r, "rk", "r_name", "r_regionkey", "r_regionkey", "region")
     return two.select("c_custkey", "region")
@@ -66,8 +66,8 @@ def unmatched_customers(spark, d):
 
 def dense_grid(spark, d):
     p = table(spark, d, "part")
-    n = p.where("p_size < 10").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
-    return relational.densify(n, ["p_brand"], "p_type", ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"], ["n"])
+    n = p.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    return relational.densify(n, ["p_brand"], "p_type", [*PART_TYPES, "NONE"], ["n"])
 
 
 def status_pivot(spark, d):
@@ -194,18 +194,18 @@ def price_macro_mean(spark, d):
 
 def summary_numeric(spark, d):
     t = profiles.table_one_numeric(_orders(spark, d), ["o_totalprice", "c_acctbal"], "o_orderstatus")
-    return longs(rounded(t, "mean", "sd", "f_stat"), "df1", "df2")
+    return longs(rounded(profiles.with_p_value(t, "f_stat", "df1", "df2"), "mean", "sd", "f_stat", "p"), "df1", "df2")
 
 
 def summary_categorical(spark, d):
     t = profiles.table_one_categorical(_orders(spark, d), ["c_mktsegment", "o_orderpriority"], "o_orderstatus")
-    return longs(rounded(t, "percent", "chi2"), "df")
+    return longs(rounded(profiles.with_p_value(t, "chi2", "df"), "percent", "chi2", "p"), "df")
 
 
 def name_sets(spark, d):
     """Union, intersection and difference of two name lists."""
-    a = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
-    b = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    a = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k"))
+    b = table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("k"))
     tag = lambda df, name: df.select(F.lit(name).alias("op"), F.col("k").cast("long").alias("k"))
     return tag(a.union(b).distinct(), "union").union(tag(a.intersect(b), "both")).union(tag(a.subtract(b), "only"))
 
@@ -262,20 +262,20 @@ SQL = {
     "inner_join": f"""WITH {_OC} SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS n,
         round(sum(o_totalprice), 6) AS total FROM oc GROUP BY 1""",
     "full_join": """SELECT coalesce(o.k, c.c_custkey) AS key, n_orders, c_mktsegment FROM
-        (SELECT o_custkey AS k, count(*) AS n_orders FROM orders WHERE o_totalprice > 400000 GROUP BY 1) o
-        FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) c ON o.k = c.c_custkey""",
+        (SELECT o_custkey + 7 AS k, count(*) AS n_orders FROM orders GROUP BY 1) o
+        FULL JOIN customer c ON o.k = c.c_custkey""",
     "first_match_lookup": """SELECT s_suppkey, (SELECT arg_min(c_name, c_custkey) FROM customer
-        WHERE c_nationkey = s_nationkey AND c_acctbal < -900) AS first_customer FROM supplier""",
-    "two_hop_lookup": """SELECT c_custkey, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
-        LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'""",
+        WHERE c_nationkey = s_nationkey + 1) AS first_customer FROM supplier""",
+    "two_hop_lookup": """SELECT c_custkey, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey + 1 = n_nationkey
+        LEFT JOIN region ON n_regionkey = r_regionkey""",
     "matching_customers": """SELECT c_custkey, c_name FROM customer
         WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)""",
     "unmatched_customers": """SELECT c_custkey, c_name FROM customer
         WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)""",
     "dense_grid": """SELECT b.p_brand, t.p_type, count(p_partkey) AS n
-        FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 10) b CROSS JOIN
-        (SELECT unnest(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD']) AS p_type) t
-        LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_type = t.p_type AND p_size < 10 GROUP BY 1, 2""",
+        FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN
+        (SELECT unnest(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD', 'NONE']) AS p_type) t
+        LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_type = t.p_type GROUP BY 1, 2""",
     "status_pivot": f"""WITH {_OC} SELECT c_mktsegment, count(*) FILTER (o_orderstatus = 'F') AS F,
         count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM oc GROUP BY 1""",
     "pivot_round_trip": f"WITH {_OC} SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM oc GROUP BY 1, 2",
@@ -335,20 +335,24 @@ SQL = {
         f AS (SELECT variable, count(*) AS k, max(nn) AS nn, sum(n * (mean - gm) * (mean - gm)) AS sb, sum((n - 1) * v) AS sw
               FROM g JOIN a USING (variable) GROUP BY 1)
         SELECT variable, o_orderstatus, n, round(mean, 6) AS mean, round(sqrt(v), 6) AS sd,
-          round((sb / (k - 1)) / (sw / (nn - k)), 6) AS f_stat, k - 1 AS df1, nn - k AS df2
+          round((sb / (k - 1)) / (sw / (nn - k)), 6) AS f_stat, k - 1 AS df1, nn - k AS df2,
+          round(pow(1 + 2 * (sb / (k - 1)) / (sw / (nn - k)) / (nn - k), -(nn - k) / 2.0), 6) AS p
         FROM g JOIN f USING (variable)""",
     "summary_categorical": f"""WITH {_OC}, l AS (
           SELECT 'c_mktsegment' AS variable, c_mktsegment AS level, o_orderstatus AS s FROM oc
           UNION ALL SELECT 'o_orderpriority', o_orderpriority, o_orderstatus FROM oc),
+        r AS (SELECT variable, level, count(*) AS r FROM l GROUP BY 1, 2), k AS (SELECT variable, s, count(*) AS k FROM l GROUP BY 1, 2),
+        g AS (SELECT variable, level, s, r * 1.0 * k / sum(r) OVER (PARTITION BY variable, s) AS ex, k FROM r JOIN k USING (variable)),
         c AS (SELECT variable, level, s, count(*) AS n FROM l GROUP BY 1, 2, 3),
-        e AS (SELECT *, sum(n) OVER (PARTITION BY variable, level) * 1.0 * sum(n) OVER (PARTITION BY variable, s)
-                / sum(n) OVER (PARTITION BY variable) AS ex, sum(n) OVER (PARTITION BY variable, s) AS col FROM c),
+        e AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (variable, level, s)),
         t AS (SELECT variable, sum((n - ex) * (n - ex) / ex) AS chi2,
-                (count(DISTINCT level) - 1) * (count(DISTINCT s) - 1) AS df FROM e GROUP BY 1)
-        SELECT variable, level, s AS o_orderstatus, n, round(n * 100.0 / col, 6) AS percent, round(chi2, 6) AS chi2,
-          CAST(df AS BIGINT) AS df FROM e JOIN t USING (variable)""",
-    "name_sets": """WITH a AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS k FROM customer WHERE c_acctbal > 9000),
-        b AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS k FROM supplier WHERE s_acctbal > 5000)
+                (count(DISTINCT level) - 1) * (count(DISTINCT s) - 1) AS df FROM e GROUP BY 1),
+        p AS (SELECT variable, sum(exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1))) AS p
+              FROM (SELECT *, unnest(range(0, CAST(df // 2 AS BIGINT))) AS i FROM t) GROUP BY 1)
+        SELECT variable, level, s AS o_orderstatus, n, round(n * 100.0 / k, 6) AS percent, round(chi2, 6) AS chi2,
+          CAST(df AS BIGINT) AS df, round(p, 6) AS p FROM e JOIN t USING (variable) JOIN p USING (variable) WHERE n > 0""",
+    "name_sets": """WITH a AS (SELECT DISTINCT CAST(c_custkey * 2 AS BIGINT) AS k FROM customer),
+        b AS (SELECT DISTINCT CAST(s_suppkey * 3 AS BIGINT) AS k FROM supplier)
         SELECT 'union' AS op, k FROM (SELECT k FROM a UNION SELECT k FROM b)
         UNION ALL SELECT 'both', k FROM (SELECT k FROM a INTERSECT SELECT k FROM b)
         UNION ALL SELECT 'only', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b)""",

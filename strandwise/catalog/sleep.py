@@ -16,6 +16,15 @@ def _sessions(spark, d):
     return sessions.sessionize(event_records(spark, d), ["user_id"], "start_us", "end_us", "event_id", GAP_HOURS)
 
 
+def parsed_records(spark, d):
+    """Start times read from zoned text, and whether they fall in a closed range of local dates."""
+    e = event_records(spark, d)
+    written = F.date_format(sessions.utc_clock(F.col("start_us")), "yyyy-MM-dd HH:mm:ss")
+    us = sessions.parse_clock(written, "Asia/Taipei")
+    inside = sessions.started_within(us, "Asia/Taipei", "2024-01-05 00:00:00", "2024-01-20 12:00:00")
+    return e.select("event_id", written.alias("written"), us.alias("start_us"), inside.alias("inside"))
+
+
 def gap_hours(spark, d):
     out = sessions.sessionize(event_records(spark, d), ["user_id"], "start_us", "end_us", "event_id", 0.0)
     return rounded(out.select("event_id", "user_id", "gap_hours", F.col("session_id")), "gap_hours")
@@ -148,7 +157,7 @@ def type_profile(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        gap_hours,
+        parsed_records, gap_hours,
         sessionize,
         session_durations,
         duration_macro_mean,
@@ -239,6 +248,9 @@ _SHARES = (
 _P = ", ".join(f"p_{s}" for s in STATES)
 
 SQL = {
+    "parsed_records": """WITH t AS (SELECT event_id, date_trunc('second', ts) AS s FROM events)
+        SELECT event_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS written, epoch_us(s) - 8 * 3600000000 AS start_us,
+          s BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00' AS inside FROM t""",
     "gap_hours": f"""WITH {_REC} SELECT event_id, user_id, round(coalesce(g, 0), 6) AS gap_hours,
         CAST(sum(CASE WHEN g > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, event_id
         ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_id FROM lagged""",

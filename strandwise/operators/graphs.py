@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .skew import attach, cut_lineage, hot_keys, null_safe_join, numbered
+from .skew import attach, cut_lineage, hot_keys, null_safe_join, numbered, written
 
 
 def hierarchy_edges(h: DataFrame, parent: str, left: str, right: str) -> DataFrame:
@@ -33,22 +33,22 @@ def depth_from(
     One join of the last frontier per round; only new vertices move on. The walk ends
     when nothing new is reached, or at ``max_depth`` where only the top is wanted.
     """
-    adjacent = cut_lineage(both_ways(edges, src, dst).where("src <> dst").distinct())
+    adjacent = written(both_ways(edges, src, dst).where("src <> dst").distinct())
     hot = hot_keys(adjacent, ["src"])
     kind = adjacent.schema["src"].dataType
     frontier = adjacent.select(root.cast(kind).alias("id")).limit(1).withColumn("depth", F.lit(0))
-    seen = frontier = cut_lineage(frontier)
+    seen = frontier = written(frontier)
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         reach = attach(adjacent, frontier.select(F.col("id").alias("src")), ["src"], "inner", hot)
         fresh = reach.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
+        frontier = written(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if depth % 10 == 0:
-            seen = cut_lineage(seen)
+            seen = written(seen)
     return seen
 
 
@@ -99,10 +99,10 @@ def _chained(lines: DataFrame) -> DataFrame:
     Pointers double in each round, so a run of n parents takes log2(n) rounds; a run
     that has not ended by then is a cycle.
     """
-    lines = cut_lineage(lines)
+    lines = written(lines)
     for _ in range(lines.count().bit_length() + 1):
         ahead = lines.select(F.col("p").alias("next"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("next").alias("_next"))
-        joined = cut_lineage(lines.join(ahead, "next", "left"))
+        joined = written(lines.join(ahead, "next", "left"))
         if joined.where("_a is not null").isEmpty():
             return lines
         lines = joined.select(
@@ -122,31 +122,31 @@ def hierarchy_layout(h: DataFrame, parent: str, left: str, right: str, height: s
     of parents that wait for one child each, so the rounds grow with the logarithm of
     the vertices, however deep the tree is.
     """
-    edges = cut_lineage(
+    edges = written(
         h.select(F.col(parent).alias("pend"), F.col(height).alias("xend"), F.inline(F.array(
             F.struct(F.col(left).alias("p")), F.struct(F.col(right).alias("p"))))).where("p is not null")
     )
     heights = edges.groupBy(F.col("pend").alias("p")).agg(F.max("xend").cast("double").alias("x"))
     leaves = edges.join(heights.select("p"), "p", "left_anti")
     placed = numbered(leaves.select("p", "xend"), ["xend", "p"], "_r").select("p", F.col("_r").cast("double").alias("y"))
-    placed = cut_lineage(placed)
-    waiting = cut_lineage(heights.select(F.col("p").alias("pend")))
+    placed = written(placed)
+    waiting = written(heights.select(F.col("p").alias("pend")))
     while not waiting.isEmpty():
         known = edges.join(waiting, "pend", "left_semi").join(placed, "p", "left").groupBy("pend").agg(
             F.count(F.lit(1)).alias("_n"), F.count("y").alias("_k"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("_s"),
             F.max(F.when(F.col("y").isNull(), F.col("p"))).alias("next"),
         )
-        known = cut_lineage(known)
+        known = written(known)
         ready = known.where("_n = _k").select(F.col("pend").alias("p"), (F.col("_s") / F.col("_n")).alias("y"))
         runs = _chained(known.where("_n - _k = 1").select(
             F.col("pend").alias("p"), (1.0 / F.col("_n")).alias("a"), (F.col("_s") / F.col("_n")).alias("b"), "next"
         ))
         ended = runs.join(ready.select(F.col("p").alias("next"), F.col("y").alias("_y")), "next")
-        fresh = cut_lineage(ready.unionByName(ended.select("p", (F.col("a") * F.col("_y") + F.col("b")).alias("y"))))
+        fresh = written(ready.unionByName(ended.select("p", (F.col("a") * F.col("_y") + F.col("b")).alias("y"))))
         if fresh.isEmpty():
             raise ValueError("the hierarchy has a cycle")
-        placed = cut_lineage(placed.unionByName(fresh))
-        waiting = cut_lineage(waiting.join(fresh.select(F.col("p").alias("pend")), "pend", "left_anti"))
+        placed = written(placed.unionByName(fresh))
+        waiting = written(waiting.join(fresh.select(F.col("p").alias("pend")), "pend", "left_anti"))
     top = placed.select(F.col("p").alias("pend"), F.col("y").alias("yend"))
     return edges.join(placed, "p").join(heights, "p", "left").join(top, "pend").select(
         "p", "pend", F.coalesce("x", F.lit(0.0)).alias("x"), F.col("xend").cast("double").alias("xend"), "y", "yend"
@@ -198,9 +198,9 @@ def communities(edges: DataFrame) -> DataFrame:
     labels by its gain, labels cannot swap for ever, and the rounds end when nobody
     gains.
     """
-    links = cut_lineage(both_ways(edges, "src", "dst", "weight").where("src <> dst"))
+    links = written(both_ways(edges, "src", "dst", "weight").where("src <> dst"))
     hot = hot_keys(links, ["src"])
-    labels = cut_lineage(both_ways(edges, "src", "dst").select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    labels = written(both_ways(edges, "src", "dst").select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
     while True:
         heard = attach(links, labels.withColumnRenamed("id", "src"), ["src"], "inner", hot)
         votes = heard.groupBy(F.col("dst").alias("id"), "label").agg(F.round(F.sum("weight"), 9).alias("_w"))
@@ -209,7 +209,7 @@ def communities(edges: DataFrame) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("label") == F.col("_own"), F.col("_w"))), F.lit(0)).alias("_now"),
         )
         wish = ranked.select("id", F.col("_best.label").alias("label"), (-F.col("_best.w") - F.col("_now")).alias("gain"))
-        wish = cut_lineage(wish.where("gain > 0"))
+        wish = written(wish.where("gain > 0"))
         if wish.isEmpty():
             return labels.select("id", F.col("label").alias("community"))
         near = attach(links, wish.select(F.col("id").alias("src"), "gain"), ["src"], "inner", hot)
@@ -217,7 +217,7 @@ def communities(edges: DataFrame) -> DataFrame:
         moves = wish.join(rival, "id", "left").where(
             F.col("_first").isNull() | (F.struct((-F.col("gain")).alias("g"), F.col("id").alias("id")) < F.col("_first"))
         )
-        labels = cut_lineage(
+        labels = written(
             labels.join(moves.select("id", F.col("label").alias("_new")), "id", "left").select("id", F.coalesce("_new", "label").alias("label"))
         )
 

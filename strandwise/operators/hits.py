@@ -8,31 +8,36 @@ from pyspark.sql import functions as F
 from .skew import attach, cut_lineage, hot_keys, numbered, pick_hot
 
 TILE = 1_000
-BROADCAST_CHARS = 16_000_000
+BROADCAST_CHARS, BROADCAST_ROWS = 16_000_000, 1_000_000
 WINDOW = 256
 SPACE = r"\s+"
 
 
 def _inside(pieces: DataFrame, terms: DataFrame, lengths: list[int], small: bool) -> DataFrame:
-    """(piece, term) for every term that is a substring of a piece.
+    """(pid, term) for every term that is a substring of a piece (pid, piece).
 
-    A term of length L occurs exactly when it equals one of the piece's substrings
-    of length L, so the containment becomes an equality join on short strings.
+    Terms are taken in classes of 2^k to 2^(k+1) - 1 characters. Each place of a piece gives
+    one row a class: its next characters, met with the terms by the first 2^k of them and
+    then compared in full. The piece itself is not carried along, so the work and what
+    is moved grow with the text's length.
     """
-    longest = lengths[-1]
-    size = F.char_length("piece")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(size / F.lit(WINDOW)).cast("int"), F.lit(1)) - 1)
-    # Windows keep substrings near the front of short strings, whatever the piece's size.
-    view = F.substring("piece", F.col("_w") * WINDOW + 1, F.lit(WINDOW + longest - 1))
-    cut = pieces.select("piece", F.explode(starts).alias("_w")).select("piece", view.alias("_v"))
-    cut = cut.withColumn("_n", F.char_length("_v"))
-    at = cut.select("piece", "_v", "_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("_n")))).alias("_at"))
-    every = at.select("piece", "_v", "_n", "_at", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_l"))
-    rows = every.where(F.col("_at") + F.col("_l") - 1 <= F.col("_n")).select(
-        "piece", F.substring("_v", F.col("_at"), F.col("_l")).alias("term")
-    )
-    met = rows.join(F.broadcast(terms), "term") if small else attach(rows, terms, ["term"], "inner")
-    return met.select("piece", "term").distinct()
+    out = None
+    for k in sorted({n.bit_length() - 1 for n in lengths}):
+        least, longest = 1 << k, max(n for n in lengths if n.bit_length() - 1 == k)
+        some = terms.where(F.char_length("term").between(least, longest)).select("term", F.substring("term", 1, least).alias("seed"))
+        size = F.char_length("piece")
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(size / F.lit(WINDOW)).cast("int"), F.lit(1)) - 1)
+        # Windows keep substrings near the front of short strings, whatever the piece's size.
+        view = F.substring("piece", F.col("_w") * WINDOW + 1, F.lit(WINDOW + longest - 1))
+        cut = pieces.where(size >= least).select("pid", "piece", F.explode(starts).alias("_w")).select("pid", view.alias("_v"))
+        last = F.least(F.lit(WINDOW), F.char_length("_v") - least + 1)
+        at = cut.where(last >= 1).select("pid", "_v", F.explode(F.sequence(F.lit(1), last)).alias("_at"))
+        rows = at.select("pid", F.substring("_v", F.col("_at"), F.lit(longest)).alias("_next"))
+        rows = rows.withColumn("seed", F.substring("_next", 1, least))
+        met = rows.join(F.broadcast(some) if small else some, "seed").where(F.col("_next").startswith(F.col("term")))
+        found = met.select("pid", "term")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
 
 
 def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
@@ -42,14 +47,15 @@ def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
     distinct pieces of the whole collection are searched; a term with spaces in it
     is searched in whole texts. There is no document-by-term comparison. The
     vocabulary is broadcast only when its measured size is at most
-    ``BROADCAST_CHARS`` characters, otherwise it is joined by shuffle.
+    ``BROADCAST_CHARS`` characters and ``BROADCAST_ROWS`` terms, otherwise it is
+    joined by shuffle.
     """
     spark = docs.sparkSession
     vocab = terms.select(terms.columns[0]).toDF("term").where(F.char_length("term") > 0).distinct()
     spaced_term = F.col("term").rlike(SPACE)
     shape = vocab.groupBy(spaced_term.alias("spaced"), F.char_length("term").alias("n")).agg(F.count(F.lit(1)).alias("m"))
     found = [(r["spaced"], r["n"], r["m"]) for r in shape.collect()]  # one row per term length
-    small = sum(n * m for _, n, m in found) <= BROADCAST_CHARS
+    small = sum(n * m for _, n, m in found) <= BROADCAST_CHARS and sum(m for _, _, m in found) <= BROADCAST_ROWS
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = None
     for spaced in (False, True):
@@ -62,7 +68,8 @@ def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
         wanted = vocab.where(spaced_term if spaced else ~spaced_term)
         # Cutting pieces up is far more work than their bytes suggest: keep all tasks.
         unique = pieces.select("piece").distinct().repartition(tasks, "piece")
-        matched = cut_lineage(_inside(unique, wanted, lengths, small))
+        unique = cut_lineage(unique.withColumn("pid", F.monotonically_increasing_id()))
+        matched = cut_lineage(_inside(unique, wanted, lengths, small).join(unique, "pid").select("piece", "term"))
         hits = attach(pieces, matched, ["piece"], "inner").select("doc_id", "term").distinct()
         out = hits if out is None else out.unionByName(hits).distinct()
     if out is None:

@@ -68,6 +68,18 @@ def sessionize(
     )
 
 
+def parse_clock(text: Column, zone: str, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Epoch microseconds of a written wall-clock time in ``zone``; null where it does not parse."""
+    local = F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+    return F.unix_micros(F.convert_timezone(F.lit(zone), F.current_timezone(), local).cast("timestamp"))
+
+
+def started_within(us: Column, zone: str, first: str, last: str) -> Column:
+    """Start at or after the first and at or before the last local time; both ends belong to it."""
+    local = local_time(us, zone)
+    return local.between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"))
+
+
 def hours_between(start: str, end: str) -> Column:
     return (F.col(end) - F.col(start)) / F.lit(float(HOUR_US))
 

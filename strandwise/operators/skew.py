@@ -9,6 +9,8 @@ Every other key fits comfortably into one task.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,6 +202,17 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "rn") -> Data
     )
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as a table in the checkpoint folder and read from there.
+
+    For loops that join what they have settled: a checkpoint keeps the size estimate of its
+    plan, and joins multiply estimates round by round; a table has its true size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Sum of ``value`` over all earlier rows of a total order, without one task seeing all rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
