@@ -36,13 +36,14 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr br".split()
 )
 UNSEEN = frozenset("script style noscript template head title svg math iframe object select textarea button canvas audio video".split())
+#: Elements that do not end the block they stand in.
+WITHIN = INLINE | UNSEEN - {"head", "title"}
 RAW = frozenset("script style textarea title noscript iframe".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section table ul dt dd".split()
 )
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
-            "option": ("option",)}
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "p": ()}
 
 _TOKEN = re.compile(
@@ -142,10 +143,10 @@ def blocks(html: str | None) -> list[Block]:
         if m[1]:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if k:
-                if tag not in INLINE or any(e[0] not in INLINE for e in stack[k:]):
-                    if tag in INLINE:
-                        continue  # an inline end tag does not close blocks
+                if tag not in WITHIN:
                     flush()
+                elif any(e[0] not in WITHIN for e in stack[k:]):
+                    continue  # an inline end tag does not close blocks
                 close(k)
             elif tag in ("p", "br"):
                 flush() if tag == "p" else text(" ")
@@ -153,7 +154,7 @@ def blocks(html: str | None) -> list[Block]:
         if tag == "br":
             text(" ")
             continue
-        if tag not in INLINE:
+        if tag not in WITHIN:
             flush()
             if tag in CLOSES_P:
                 _leave(stack, ("p",), (), close)

@@ -38,7 +38,7 @@ REGISTERS = BANDS * ROWS
 #: Least share of equal registers for the exact comparison: five standard errors below.
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Hubs that a bucket takes in one round after the first.
-HUBS = 16
+HUBS = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -140,7 +140,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """One node an exact text: nid, key, bands, low bits of the registers."""
+    """One node an exact text: nid, key, first doc_id, bands, low bits of the registers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -149,10 +149,11 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 owner = registers(*shingles(text))
                 bands.append(band_keys(owner))
                 low.append((owner >> np.uint64(48)).astype("<u2").tobytes())
-            yield pd.DataFrame({"key": b["key"], "bands": bands, "low": low})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "bands": bands, "low": low})
 
-    marked = _keyed(docs).select("key", "text").mapInPandas(run, "key binary, bands array<bigint>, low binary")
-    one = marked.groupBy("key").agg(F.first("bands").alias("bands"), F.first("low").alias("low"))
+    keyed = _keyed(docs).select(F.col("doc_id").cast("long"), "key", "text")
+    marked = keyed.mapInPandas(run, "doc_id bigint, key binary, bands array<bigint>, low binary")
+    one = marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     return settled(one.withColumn("nid", F.monotonically_increasing_id()))
 
 
@@ -172,11 +173,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(agree("a", "b") >= LEAST_ESTIMATE).select("u", "v")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of exact similarity at or above the threshold: u, v."""
-    near = settled(_estimated(pairs, nodes))
-    used = near.select(F.col("u").alias("nid")).unionByName(near.select(F.col("v").alias("nid"))).distinct()
-    wanted = nodes.select("nid", "key").join(used, "nid")
+def _sets(nodes: DataFrame, docs: DataFrame, nids: DataFrame) -> DataFrame:
+    """nid, shingle ids and weights of the nodes that share a bucket, from one pass over the texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -186,8 +184,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 "weights": [w.astype("<u4").tobytes() if (w > 1).any() else b"" for _, w in found],
             })
 
-    texts = _keyed(docs).join(wanted, "key").select("nid", "key", "text")
-    sets = settled(texts.select("nid", "text").mapInPandas(run, "nid bigint, ids binary, weights binary").dropDuplicates(["nid"]))
+    wanted = settled(nodes.select("nid", F.col("key").alias("_key"), "first").join(nids, "nid"))
+    # of exact copies only the text of the least doc_id is read on
+    texts = _keyed(docs).join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    return settled(texts.select("nid", "text").mapInPandas(run, "nid bigint, ids binary, weights binary").dropDuplicates(["nid"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of exact similarity at or above the threshold: u, v."""
+    near = settled(_estimated(pairs, nodes))
 
     @F.pandas_udf("boolean")
     def alike(ia: pd.Series, wa: pd.Series, ib: pd.Series, wb: pd.Series) -> pd.Series:
@@ -230,7 +235,8 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     spread = nodes.select("nid", F.explode("bands").alias("b"))
     hubs = spread.groupBy("b").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = settled(spread.join(hubs, "b").select("b", "nid", "hub", "n"))
-    links = settled(_verified(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct(), nodes, docs))
+    sets = _sets(nodes, docs, entries.select("nid").distinct())
+    links = settled(_verified(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct(), nodes, sets))
     found = settled(components(links))
     # buckets of two are seen; larger ones may hold nodes of several components that have not met
     many = entries.where("n > 2").select("b", "nid")
@@ -249,11 +255,11 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         if chosen.isEmpty():
             return found
         pairs = placed.join(chosen, "b").where("root <> hub_root").select(F.greatest("nid", "hub").alias("u"), F.least("nid", "hub").alias("v")).distinct()
-        fresh_links = settled(_verified(pairs, nodes, docs))
+        fresh_links = settled(_verified(pairs, nodes, sets))
         used = settled(used.unionByName(chosen.select("b", F.col("hub").alias("nid"))))
         if not fresh_links.isEmpty():
-            links = links.unionByName(fresh_links)
-            found = settled(components(links))
+            stars = found.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v"))
+            found = settled(components(stars.unionByName(fresh_links)))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
