@@ -147,25 +147,50 @@ def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> l
     return [(dict(k), x / max(1.0, max(covered[n] for n, _ in k))) for k, x in found.items()]
 
 
-def fill(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Pack what is left, longest first, each gap with the longest that fits, many bins at a time."""
-    plan, present = [], [int(n) for n in np.flatnonzero(left)]
+def _best_fit(room: int, lengths: list[int], left: np.ndarray) -> dict[int, int]:
+    """The multiset of remaining lengths (longest first) that fills the room best; sums are bit sets."""
+    parts, sums, mask = [], [1], (1 << (room + 1)) - 1
+    for n in lengths:
+        copies, many = int(min(left[n], room // n)), 1
+        while copies > 0 and not sums[-1] >> room:
+            k = min(many, copies)
+            parts.append((n, k))
+            sums.append((sums[-1] | sums[-1] << n * k) & mask)
+            copies, many = copies - k, 2 * many
+        if sums[-1] >> room:
+            break
+    total, found = sums[-1].bit_length() - 1, {}
+    for (n, k), before in zip(reversed(parts), reversed(sums[:-1])):
+        if not before >> total & 1:
+            found[n] = found.get(n, 0) + k
+            total -= n * k
+    return found
+
+
+def _longest_fit(room: int, lengths: list[int], left: np.ndarray) -> dict[int, int]:
+    """The room filled by the longest piece that fits, again and again."""
+    found = {}
+    for n in lengths:
+        if k := int(min(left[n], room // n)):
+            found[n] = k
+            room -= n * k
+    return found
+
+
+def fill(left: np.ndarray, capacity: int, fit=_best_fit) -> list[tuple[dict[int, int], int]]:
+    """Pack what is left: the longest piece, then the best fit for its gap; many bins at a time."""
+    plan, present = [], [int(n) for n in np.flatnonzero(left)[::-1]]
     while present:
-        config, room = {}, capacity
-        at = len(present) - 1
-        while at >= 0 and room > 0:
-            at = min(at, int(np.searchsorted(present, room, side="right")) - 1)
-            if at < 0:
-                break
-            n = present[at]
-            k = int(min(room // n, left[n]))
-            config[n], room = k, room - k * n
-            at -= 1
-        times = min(int(left[n]) // k for n, k in config.items())
+        n = present[0]
+        left[n] -= 1
+        config = fit(capacity - n, [m for m in present if m <= capacity - n], left)
+        left[n] += 1
+        config[n] = config.get(n, 0) + 1
+        times = min(int(left[m]) // k for m, k in config.items())
         plan.append((config, times))
-        for n, k in config.items():
-            left[n] -= k * times
-        present = [n for n in present if left[n]]
+        for m, k in config.items():
+            left[m] -= k * times
+        present = [m for m in present if left[m]]
     return plan
 
 
@@ -176,7 +201,7 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
         counts[n] = c
     full = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
     counts[capacity] = 0
-    plain = fill(counts.copy(), capacity)
+    others = [fill(counts.copy(), capacity, f) for f in (_best_fit, _longest_fit)]
     left, plan = counts.copy(), []
     for config, x in sorted(configurations(counts, capacity, rounds), key=lambda c: -c[1]):
         times = int(min(np.floor(x), min(left[n] // k for n, k in config.items())))
@@ -185,7 +210,7 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
             for n, k in config.items():
                 left[n] -= k * times
     plan += fill(left, capacity)
-    return full + min(plan, plain, key=lambda p: sum(t for _, t in p))
+    return full + min([plan, *others], key=lambda p: sum(t for _, t in p))
 
 
 def _slots(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
