@@ -22,6 +22,7 @@ empty table; other columns are left alone.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, settled
+from .common import SPACES, fresh, lookup, settled
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -157,9 +158,8 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return settled(one.withColumn("nid", F.monotonically_increasing_id()))
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose registers agree often enough for the exact comparison."""
-    low = nodes.select("nid", "low")
+def _estimated(pairs: DataFrame, low: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose registers (nid, low) agree often enough for the exact comparison."""
 
     @F.pandas_udf("double")
     def agree(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -184,15 +184,16 @@ def _sets(nodes: DataFrame, docs: DataFrame, nids: DataFrame) -> DataFrame:
                 "weights": [w.astype("<u4").tobytes() if (w > 1).any() else b"" for _, w in found],
             })
 
-    wanted = settled(nodes.select("nid", F.col("key").alias("_key"), "first").join(nids, "nid"))
-    # of exact copies only the text of the least doc_id is read on
-    texts = _keyed(docs).join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    # of exact copies only the text of the least doc_id is read on; a null one counts as the least number
+    row = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)).cast("long"))
+    wanted = settled(nodes.join(nids, "nid").select("nid", "key", row("first").alias("first")))
+    texts = lookup(_keyed(docs).select("key", row("doc_id").alias("first"), "text"), wanted, ["key", "first"], "inner")
     return settled(texts.select("nid", "text").mapInPandas(run, "nid bigint, ids binary, weights binary").dropDuplicates(["nid"]))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of exact similarity at or above the threshold: u, v."""
-    near = settled(_estimated(pairs, nodes))
+    near = settled(_estimated(pairs, low))
 
     @F.pandas_udf("boolean")
     def alike(ia: pd.Series, wa: pd.Series, ib: pd.Series, wb: pd.Series) -> pd.Series:
@@ -212,7 +213,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """nid, root (least nid of the component) of every node that has a link."""
     links = settled(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -221,10 +221,12 @@ def components(links: DataFrame) -> DataFrame:
         least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = settled(small.where("u <> v").distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when every node points to one root, and no root points on
+        again = links.groupBy("u").count().where("count > 1").select("u").unionByName(
+            links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi")
+        )
+        if again.isEmpty():
             break
-        before = now
     return links.select(F.col("u").alias("nid"), F.col("v").alias("root")).unionByName(
         links.select(F.col("v").alias("nid"), F.col("v").alias("root")).distinct()
     )
@@ -235,13 +237,14 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     spread = nodes.select("nid", F.explode("bands").alias("b"))
     hubs = spread.groupBy("b").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = settled(spread.join(hubs, "b").select("b", "nid", "hub", "n"))
-    sets = _sets(nodes, docs, entries.select("nid").distinct())
-    links = settled(_verified(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct(), nodes, sets))
+    nids = settled(entries.select("nid").distinct())
+    low, sets = settled(nodes.select("nid", "low").join(nids, "nid")), _sets(nodes, docs, nids)
+    links = settled(_verified(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct(), low, sets))
     found = settled(components(links))
     # buckets of two are seen; larger ones may hold nodes of several components that have not met
     many = entries.where("n > 2").select("b", "nid")
     used = entries.where("n > 2 and nid = hub").select("b", "nid")
-    while True:
+    for turn in itertools.count():
         placed = settled(many.join(found, "nid", "left").select("b", "nid", F.coalesce("root", "nid").alias("root")))
         groups = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("c"))
         top = groups.groupBy("b").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -249,13 +252,13 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         outside = settled(outside.select("b", "nid", "root"))
         draw = outside.groupBy("b").agg(F.min("nid").alias("first"), F.ceil(F.count(F.lit(1)) / HUBS).alias("one_in"))
         chosen = settled(
-            outside.join(draw, "b").where((F.col("nid") == F.col("first")) | (F.pmod(F.xxhash64("nid", "b"), F.col("one_in")) == 0))
+            outside.join(draw, "b").where((F.col("nid") == F.col("first")) | (F.pmod(F.xxhash64("nid", "b", F.lit(turn)), F.col("one_in")) == 0))
             .select("b", F.col("nid").alias("hub"), F.col("root").alias("hub_root"))
         )
         if chosen.isEmpty():
             return found
         pairs = placed.join(chosen, "b").where("root <> hub_root").select(F.greatest("nid", "hub").alias("u"), F.least("nid", "hub").alias("v")).distinct()
-        fresh_links = settled(_verified(pairs, nodes, sets))
+        fresh_links = settled(_verified(pairs, low, sets))
         used = settled(used.unionByName(chosen.select("b", F.col("hub").alias("nid"))))
         if not fresh_links.isEmpty():
             stars = found.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v"))
