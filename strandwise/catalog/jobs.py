@@ -150,7 +150,7 @@ def median_pivot(spark, d):
     wide = q.groupBy("category").pivot("min_experience", ["0", "1~2", "3~4", "5+"]).agg(F.max("q2"))
     names = ["y0", "y1", "y3", "y5"]
     wide = wide.toDF("category", *names)
-    text_cols = {f"{n}_text": text.comma(F.col(n), 1, 0.001, "NT$", "K").isNotNull() for n in names}
+    text_cols = {f"{n}_text": text.comma(F.col(n), 1, 0.001, "NT$", "K") for n in names}
     return rounded(wide.withColumns(text_cols), *names)
 
 
@@ -272,7 +272,7 @@ SQL = {
     "median_pivot": f"WITH {_SUM} SELECT category, "
     + ", ".join(
         f"round(quantile_cont(salary, 0.5) FILTER (min_experience = '{e}'), 6) AS {n}, "
-        f"count(*) FILTER (min_experience = '{e}') > 0 AS {n}_text"
+        f"'NT$' || format('{{:,.1f}}', quantile_cont(salary, 0.5) FILTER (min_experience = '{e}') * 0.001) || 'K' AS {n}_text"
         for e, n in (("0", "y0"), ("1~2", "y1"), ("3~4", "y3"), ("5+", "y5"))
     )
     + " FROM summ WHERE salary IS NOT NULL AND category IS NOT NULL GROUP BY 1",

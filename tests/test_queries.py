@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from strandwise import catalog
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = catalog.all_sql()
 SPLIT = [
     "gap_hours", "sessionize", "session_durations", "session_exclusion", "minute_states", "price_quantiles",
     "salary_profile", "price_profile_by_each", "customer_status_list", "job_summary", "rows_with_group_total",
@@ -35,7 +36,7 @@ def compare(spark, db, name):
 
 
 def test_registry():
-    assert set(SQL) <= set(entry.queries())
+    assert set(SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -52,6 +53,6 @@ def test_split_plans(spark, db, hot, name):
     compare(spark, db, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.all_queries()) - set(SQL)))
 def test_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
