@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = docs.where(_wordless(F.col("text"))).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
     )
-    return rows.join(per, "root").select("doc_id", "class_id", "class_size").unionByName(alone)
+    return lookup(rows, settled(per), ["root"]).select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def keep(docs: DataFrame) -> DataFrame:
