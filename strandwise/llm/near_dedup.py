@@ -126,6 +126,15 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return total
 
 
+def _in_few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` settled by as many tasks as its measured size asks for.
+
+    Links and buckets are small next to the texts and are settled many times; a task for
+    each shuffle partition would cost more than the work.
+    """
+    return settled(df.coalesce(max(1, -(-rows // per_task))))
+
+
 def _text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
@@ -186,14 +195,14 @@ def _sets(nodes: DataFrame, docs: DataFrame, nids: DataFrame) -> DataFrame:
 
     # of exact copies only the text of the least doc_id is read on; a null one counts as the least number
     row = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)).cast("long"))
-    wanted = settled(nodes.join(nids, "nid").select("nid", "key", row("first").alias("first")))
+    wanted = _in_few(nodes.join(nids, "nid").select("nid", "key", row("first").alias("first")), nids.count(), 100_000)
     texts = lookup(_keyed(docs).select("key", row("doc_id").alias("first"), "text"), wanted, ["key", "first"], "inner")
     return settled(texts.select("nid", "text").mapInPandas(run, "nid bigint, ids binary, weights binary").dropDuplicates(["nid"]))
 
 
-def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of exact similarity at or above the threshold: u, v."""
-    near = settled(_estimated(pairs, low))
+def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """The pairs of exact similarity at or above the threshold: u, v. ``rows``: of the buckets."""
+    near = _in_few(_estimated(pairs, low), rows, 50_000)
 
     @F.pandas_udf("boolean")
     def alike(ia: pd.Series, wa: pd.Series, ib: pd.Series, wb: pd.Series) -> pd.Series:
@@ -204,23 +213,23 @@ def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame) -> DataFrame:
         return pd.Series([similarity(*one(a, p), *one(b, q)) >= SIMILARITY - 1e-9 for a, p, b, q in zip(ia, wa, ib, wb)])
 
     side = lambda k, a, w: sets.select(F.col("nid").alias(k), F.col("ids").alias(a), F.col("weights").alias(w))
-    return (
-        near.join(side("u", "ia", "wa"), "u").join(side("v", "ib", "wb"), "v")
-        .where(alike("ia", "wa", "ib", "wb")).select("u", "v")
-    )
+    both = near.join(side("u", "ia", "wa"), "u").join(side("v", "ib", "wb"), "v")
+    return _in_few(both.where(alike("ia", "wa", "ib", "wb")).select("u", "v"), rows, 20_000)
 
 
 def components(links: DataFrame) -> DataFrame:
     """nid, root (least nid of the component) of every node that has a link."""
     links = settled(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rows = links.count()
+    few = lambda df: _in_few(df, rows, 100_000)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settled(large.where("u <> v").distinct())
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = few(large.where("u <> v").distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = settled(small.where("u <> v").distinct())
+        links = few(small.where("u <> v").distinct())
         # done when every node points to one root, and no root points on
         again = links.groupBy("u").count().where("count > 1").select("u").unionByName(
             links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi")
@@ -237,32 +246,34 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     spread = nodes.select("nid", F.explode("bands").alias("b"))
     hubs = spread.groupBy("b").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = settled(spread.join(hubs, "b").select("b", "nid", "hub", "n"))
-    nids = settled(entries.select("nid").distinct())
-    low, sets = settled(nodes.select("nid", "low").join(nids, "nid")), _sets(nodes, docs, nids)
-    links = settled(_verified(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct(), low, sets))
-    found = settled(components(links))
+    rows = entries.count()
+    few = lambda df: _in_few(df, rows, 200_000)
+    nids = few(entries.select("nid").distinct())
+    low, sets = few(nodes.select("nid", "low").join(nids, "nid")), _sets(nodes, docs, nids)
+    links = _verified(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct(), low, sets, rows)
+    found = few(components(links))
     # buckets of two are seen; larger ones may hold nodes of several components that have not met
     many = entries.where("n > 2").select("b", "nid")
     used = entries.where("n > 2 and nid = hub").select("b", "nid")
     for turn in itertools.count():
-        placed = settled(many.join(found, "nid", "left").select("b", "nid", F.coalesce("root", "nid").alias("root")))
+        placed = few(many.join(found, "nid", "left").select("b", "nid", F.coalesce("root", "nid").alias("root")))
         groups = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("c"))
         top = groups.groupBy("b").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         outside = placed.join(top.select("b", F.col("top.root").alias("main")), "b").where("root <> main").join(used, ["b", "nid"], "left_anti")
-        outside = settled(outside.select("b", "nid", "root"))
+        outside = few(outside.select("b", "nid", "root"))
         draw = outside.groupBy("b").agg(F.min("nid").alias("first"), F.ceil(F.count(F.lit(1)) / HUBS).alias("one_in"))
-        chosen = settled(
+        chosen = few(
             outside.join(draw, "b").where((F.col("nid") == F.col("first")) | (F.pmod(F.xxhash64("nid", "b", F.lit(turn)), F.col("one_in")) == 0))
             .select("b", F.col("nid").alias("hub"), F.col("root").alias("hub_root"))
         )
         if chosen.isEmpty():
             return found
         pairs = placed.join(chosen, "b").where("root <> hub_root").select(F.greatest("nid", "hub").alias("u"), F.least("nid", "hub").alias("v")).distinct()
-        fresh_links = settled(_verified(pairs, low, sets))
-        used = settled(used.unionByName(chosen.select("b", F.col("hub").alias("nid"))))
+        fresh_links = _verified(pairs, low, sets, rows)
+        used = few(used.unionByName(chosen.select("b", F.col("hub").alias("nid"))))
         if not fresh_links.isEmpty():
             stars = found.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v"))
-            found = settled(components(stars.unionByName(fresh_links)))
+            found = few(components(stars.unionByName(fresh_links)))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
