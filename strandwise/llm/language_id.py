@@ -52,9 +52,15 @@ def vocabulary_file() -> str:
 
 @dataclass
 class Lattice:
-    """A trie over the lower-case letter pieces: node x letter, and the piece that ends at a node."""
+    """A trie over the lower-case letter pieces, and the piece that ends at a node.
+
+    ``first`` has the node of each letter at the root. Few letters of the vocabulary stand
+    further inside a piece: ``inner`` numbers them, and ``step`` is node x inner letter.
+    """
 
     letters: dict[str, int]
+    first: np.ndarray
+    inner: np.ndarray
     step: np.ndarray
     piece: np.ndarray
     n_pieces: int
@@ -68,9 +74,9 @@ class Lattice:
         """(start, end, rows, piece) of every piece in every word, starts and ends in order."""
         width = coded.shape[1]
         for i in range(width):
-            node, rows = np.zeros(len(coded), dtype=np.int64), np.arange(len(coded))
+            rows = np.arange(len(coded))
             for j in range(i, min(width, i + LONGEST_PIECE + 1)):
-                node = self.step[node, coded[rows, j]]
+                node = self.first[coded[:, i]] if j == i else self.step[node, self.inner[coded[rows, j]]]
                 if j == i:
                     yield i, j + 1, rows, np.where((node > 0) & (self.piece[node] >= 0), self.piece[node], UNKNOWN)
                 alive = node > 0
@@ -94,14 +100,19 @@ def lattice(path: str) -> Lattice:
     for p in pieces:
         for k in range(1, len(p) + 1):
             nodes.setdefault(p[:k], len(nodes))
-    step = np.zeros((len(nodes), len(letters) + 1), dtype=np.int32)
+    first, inner = np.zeros(len(letters) + 1, dtype=np.int32), np.zeros(len(letters) + 1, dtype=np.int32)
+    within = sorted({letters[c] for p in pieces for c in p[1:]})
+    inner[within] = np.arange(1, len(within) + 1)
+    step = np.zeros((len(nodes), len(within) + 1), dtype=np.int32)
     piece = np.full(len(nodes), NONE, dtype=np.int32)
     for s, k in nodes.items():
-        if s:
-            step[nodes[s[:-1]], letters[s[-1]]] = k
+        if len(s) == 1:
+            first[letters[s]] = k
+        elif s:
+            step[nodes[s[:-1]], inner[letters[s[-1]]]] = k
     for k, p in enumerate(pieces):
         piece[nodes[p]] = k + 1
-    return Lattice(letters, step, piece, len(pieces) + 1)
+    return Lattice(letters, first, inner, step, piece, len(pieces) + 1)
 
 
 def words_of(text: str | None) -> list[str]:
