@@ -126,13 +126,17 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return total
 
 
-def _in_few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
-    """``df`` settled by as many tasks as its measured size asks for.
+def _few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` in as many tasks as its measured size asks for.
 
-    Links and buckets are small next to the texts and are settled many times; a task for
-    each shuffle partition would cost more than the work.
+    Links and buckets are small next to the texts and are settled many times; a task, or a
+    call to Python, for each shuffle partition would cost more than the work.
     """
-    return settled(df.coalesce(max(1, -(-rows // per_task))))
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
+def _in_few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    return settled(_few(df, rows, per_task))
 
 
 def _text_key(text: Column) -> Column:
@@ -167,7 +171,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return settled(one.withColumn("nid", F.monotonically_increasing_id()))
 
 
-def _estimated(pairs: DataFrame, low: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, low: DataFrame, rows: int) -> DataFrame:
     """The pairs (u, v) whose registers (nid, low) agree often enough for the exact comparison."""
 
     @F.pandas_udf("double")
@@ -179,7 +183,7 @@ def _estimated(pairs: DataFrame, low: DataFrame) -> DataFrame:
     both = pairs.join(low.select(F.col("nid").alias("u"), F.col("low").alias("a")), "u").join(
         low.select(F.col("nid").alias("v"), F.col("low").alias("b")), "v"
     )
-    return both.where(agree("a", "b") >= LEAST_ESTIMATE).select("u", "v")
+    return _few(both, rows, 10_000).where(agree("a", "b") >= LEAST_ESTIMATE).select("u", "v")
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, nids: DataFrame) -> DataFrame:
@@ -202,7 +206,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, nids: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """The pairs of exact similarity at or above the threshold: u, v. ``rows``: of the buckets."""
-    near = _in_few(_estimated(pairs, low), rows, 50_000)
+    near = settled(_estimated(pairs, low, rows))
 
     @F.pandas_udf("boolean")
     def alike(ia: pd.Series, wa: pd.Series, ib: pd.Series, wb: pd.Series) -> pd.Series:
@@ -214,7 +218,7 @@ def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame, rows: int) -> D
 
     side = lambda k, a, w: sets.select(F.col("nid").alias(k), F.col("ids").alias(a), F.col("weights").alias(w))
     both = near.join(side("u", "ia", "wa"), "u").join(side("v", "ib", "wb"), "v")
-    return _in_few(both.where(alike("ia", "wa", "ib", "wb")).select("u", "v"), rows, 20_000)
+    return settled(_few(both, rows, 5_000).where(alike("ia", "wa", "ib", "wb")).select("u", "v"))
 
 
 def components(links: DataFrame) -> DataFrame:
