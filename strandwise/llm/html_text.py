@@ -11,7 +11,9 @@ no label comes from the pages that are read. The likelihood is maximised by full
 
 Defined cases: a null or empty page has the empty text; character references are decoded; tags
 left open or cut off at the end of the page close there; scripts, styles, templates, comments,
-form controls and the head are never text; repeated rows are alike; an empty table gives an
+form controls and the head are never text; formulas (MathML), the text of drawings (SVG) and
+fallback text (noscript, object, canvas, iframe, audio, video) are inline text of their block;
+an svg or math tag that ends in "/>" closes at once; repeated rows are alike; an empty table gives an
 empty table; other columns are ignored.
 """
 
@@ -31,14 +33,16 @@ from pyspark.sql import functions as F
 
 #: Names of HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
+FOREIGN = frozenset("math svg".split())
+FALLBACK = frozenset("noscript object canvas iframe audio video".split())
+INLINE = FOREIGN | FALLBACK | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br".split()
 )
-UNSEEN = frozenset("script style noscript template head title svg math iframe object select textarea button canvas audio video".split())
+UNSEEN = frozenset("script style template head title select textarea button".split())
 #: Elements that do not end the block they stand in.
 WITHIN = INLINE | UNSEEN - {"head", "title"}
-RAW = frozenset("script style textarea title noscript iframe".split())
+RAW = frozenset("script style textarea title".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section table ul dt dd".split()
@@ -46,6 +50,11 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "p": ()}
 
+#: Tags that mean in a drawing or formula what they mean elsewhere; its other tags are inline.
+HTML_IN_FOREIGN = VOID | INLINE | UNSEEN - {"title"} | CLOSES_P | frozenset(SIBLINGS) | frozenset("html body caption tbody tfoot thead".split())
+#: Elements of a drawing whose text stands apart.
+APART = frozenset("text title desc".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
@@ -63,6 +72,7 @@ _HINTS = [
     ("main", r"article|content|post(?:[-_ ]|$)|entry|story|main|body|text"),
 ]
 _HINTS = [(name, re.compile(p, re.I)) for name, p in _HINTS]
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"']*/\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -110,7 +120,7 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset, str | None, bool]] = [("", frozenset(), None, False)]
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, foreign, at = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -123,8 +133,9 @@ def blocks(html: str | None) -> list[Block]:
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, foreign
         in_link -= sum(1 for e in stack[k:] if e[0] == "a")
+        foreign -= sum(1 for e in stack[k:] if e[0] in FOREIGN)
         del stack[k:]
 
     def text(raw: str) -> None:
@@ -139,7 +150,22 @@ def blocks(html: str | None) -> list[Block]:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if foreign and html.startswith("<![CDATA[", m.start()):
+                end = html.find("]]>", m.start() + 9)
+                end = len(html) if end < 0 else end
+                text(html[m.start() + 9 : end].replace("&", "&amp;"))
+                at = end + 3
             continue
+        if foreign or tag in FOREIGN:
+            closed = m[3].endswith("/") and not _UNQUOTED_SLASH.search(m[3])
+            if tag not in HTML_IN_FOREIGN:
+                if tag in APART:
+                    text(" ")
+                continue
+            if not m[1] and closed and (tag in FOREIGN or tag in RAW):
+                continue
+            if not m[1] and (tag in CLOSES_P or tag in SIBLINGS):  # a block ends the drawing
+                close(next(i for i, e in enumerate(stack) if e[0] in FOREIGN))
         if m[1]:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if k:
@@ -174,6 +200,7 @@ def blocks(html: str | None) -> list[Block]:
             own = own | {f"in:{tag}@{'article' if 'in:article' in above[1] or 'in:main' in above[1] else 'page'}"}
         stack.append((tag, above[1] | own, label or above[2], above[3] or tag in UNSEEN))
         in_link += tag == "a"
+        foreign += tag in FOREIGN
     text(html[at:])
     flush()
     return out

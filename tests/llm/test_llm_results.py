@@ -175,6 +175,21 @@ def test_parser():
     assert text("<title>t</title><p>a<textarea>no</textarea><p title='a>b'>c</p") == ["a", "c"]
 
 
+def test_parser_keeps_formulas_drawings_and_fallback_text():
+    text = lambda h: [b.text for b in html_text.blocks(h)]
+    assert text("<p>so <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds</p><p>b") == ["so x=2 holds", "b"]
+    assert text("<article><svg class='i'/><p>a</p><p>b</p><math/>c</article>") == ["a", "b", "c"]
+    assert text("<p>a <svg width=1/ ><g><title>t</title><text>u</text><text>v</text><style/></g></svg> b") == ["a t u v b"]
+    assert text("<p>a <svg><title/><script/><path d=''/></svg> b</p><p>c") == ["a b", "c"]
+    assert text("<p>a <object>b</object> <noscript>c <i>d</i></noscript> <canvas>e</canvas> <iframe>f</iframe></p>g") == ["a b c d e f", "g"]
+    assert text("<div><noscript><p>a</p></noscript></div><svg><g>b<p>c</p><my-x>d</my-x>") == ["a", "b", "c", "d"]
+    assert text("<p><math><mtext><![CDATA[a>b &amp;]]></mtext></math><svg href=x/>c</svg>d<svg/><title>no</title>") == ["a>b &amp;cd"]
+    assert text("<head><noscript>no</noscript><svg><text>no</text></svg></head><p>a<![CDATA[no]]>") == ["a"]
+    field = html_text.trained()
+    page = f"<nav><a href=x>menu</a></nav><article><svg class=\"i\"/>{'<p>Some words, then more of them. And others follow.</p>' * 4}</article>"
+    assert sum(field.decode(html_text.blocks(page))) == 4
+
+
 # language
 
 
