@@ -111,11 +111,17 @@ def future_cost(spark, d):
 
 
 def sequence_order(spark, d):
-    """Sessions numbered in order of their states from the start (coarse 30-minute steps)."""
+    """Sessions numbered in order of their states from the start, by 30-minute steps only: its SQL
+    check is of that step. ``sequence_order_minutes`` is the order of the analysis."""
     m = sessions.minute_states(_sessions(spark, d), KEYS, "start_us", "end_us", "state", "event_id", 30)
     return longs(sequences.sequence_order(m, KEYS, STATES), "position")
 
 
+def sequence_order_minutes(spark, d):
+    """Sessions numbered in order of their states from the start, minute by minute."""
+    return longs(sequences.sequence_order(_minutes(spark, d), KEYS, STATES), "position")
+
+
 def state_shares(spark, d):
     return rounded(sequences.state_shares(_minutes(spark, d), KEYS, STATES), *[f"p_{s}" for s in STATES])
 
@@ -129,8 +135,8 @@ def near_sequences(spark, d):
 
 
 def sequence_distances(spark, d):
-    """Edit distances of each session to the same user's session before it."""
-    m = sessions.minute_states(_sessions(spark, d), KEYS, "start_us", "end_us", "state", "event_id", 10)
+    """Edit distances of each session to the same user's session before it, minute by minute."""
+    m = _minutes(spark, d)
     rates = sequences.transition_rates(m, KEYS)
     spells = sequences.spells(m, KEYS)
     lists = sequences.spell_lists(spells, KEYS)
@@ -171,6 +177,7 @@ QUERIES = {
         transition_rates,
         future_cost,
         sequence_order,
+        sequence_order_minutes,
         state_shares,
         near_sequences,
         sequence_distances,
@@ -302,6 +309,10 @@ SQL = {
           SELECT user_id, session_id, list(array_position(['{"', '".join(STATES)}'], state) ORDER BY pos) AS codes
           FROM mins GROUP BY 1, 2)
         SELECT user_id, session_id, row_number() OVER (ORDER BY codes, user_id, session_id) AS position FROM l""",
+    "sequence_order_minutes": f"""WITH {_MIN}, l AS (
+          SELECT user_id, session_id, list(array_position(['{"', '".join(STATES)}'], state) ORDER BY pos) AS codes
+          FROM mins GROUP BY 1, 2)
+        SELECT user_id, session_id, row_number() OVER (ORDER BY codes, user_id, session_id) AS position FROM l""",
     "state_shares": f"WITH {_SHARES} SELECT user_id, session_id, {_P} FROM shares",
     "near_sequences": f"""WITH {_SHARES}, v AS (
           SELECT min(concat_ws(':', user_id, session_id)) AS rep, {_P} FROM shares GROUP BY {_P})

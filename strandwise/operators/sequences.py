@@ -18,6 +18,8 @@ from .skew import attach, cut_lineage, numbered
 
 MISSING = "missing"
 TILE = 2_000
+#: Places of all lines that one step of the alignment works on.
+LINE_PLACES = 50_000
 
 
 def state_distribution(seqs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -168,15 +170,36 @@ def near_pairs(df: DataFrame, id_col: str, cols: list[str], radius: float) -> Da
     return met.where(F.col("a") < F.col("b")).select("a", "b", F.sqrt(sq).alias("distance")).where(F.col("distance") <= radius)
 
 
-def _align(sub: np.ndarray, drop: np.ndarray, add: np.ndarray) -> float:
-    """Cheapest alignment of two sequences given substitution, drop and add costs."""
-    adds = np.concatenate(([0.0], np.cumsum(add)))
-    row = adds
-    for i in range(len(drop)):
-        best = row + drop[i]
-        best[1:] = np.minimum(best[1:], row[:-1] + sub[i])
-        row = adds + np.minimum.accumulate(best - adds)
-    return float(row[-1])
+def _padded(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(parts), max(map(len, parts), default=0)), dtype=parts[0].dtype)
+    for row, part in zip(out, parts):
+        row[: len(part)] = part
+    return out
+
+
+def _align(sub, drop: list[np.ndarray], add: list[np.ndarray]) -> np.ndarray:
+    """Cheapest alignments of pairs of sequences, longest first, line by line.
+
+    ``sub(n, i)`` has the substitution costs of place i of the first n pairs, one line a pair.
+    Two lines are held, never a whole table. What lies behind the end of a sequence is not read.
+    """
+    n_drop, ends = np.array([len(x) for x in drop]), np.array([len(x) for x in add])
+    drop, add = _padded(drop), _padded(add)
+    adds = np.concatenate((np.zeros((len(add), 1)), np.cumsum(add, axis=1)), axis=1)
+    row, out = adds, np.zeros(len(add))
+    for i in range(drop.shape[1] + 1):
+        n = int(np.searchsorted(-n_drop, -i, side="left"))  # pairs with more than i places
+        done = np.arange(n, len(row))
+        out[done] = row[done, ends[done]]
+        if not n:
+            break
+        best = row[:n] + drop[:n, i, None]
+        np.minimum(best[:, 1:], row[:n, :-1] + sub(n, i), out=best[:, 1:])
+        best -= adds[:n]
+        np.minimum.accumulate(best, axis=1, out=best)
+        best += adds[:n]
+        row = best
+    return out
 
 
 def edit_distances(pairs: DataFrame, id_cols: list[str], costs: DataFrame, link: float = 0.5, origin: float = 0.5) -> DataFrame:
@@ -198,31 +221,63 @@ def edit_distances(pairs: DataFrame, id_cols: list[str], costs: DataFrame, link:
         sm[index[r["a"]], index[r["b"]]] = r["cost"]
     indel = float(sm.max()) / 2
 
-    def score(runs_a, runs_b) -> tuple[float, float, float, float]:
-        sa, sb = (np.array([index[r["state"]] for r in runs]) for runs in (runs_a, runs_b))
-        la, lb = (np.array([r["length"] for r in runs]) for runs in (runs_a, runs_b))
-        spell_sub = sm[np.ix_(sa, sb)] + link * (la[:, None] + lb[None, :] - 2)
-        same = sa[:, None] == sb[None, :]
-        spell_sub = np.where(same, link * np.abs(la[:, None] - lb[None, :]), spell_sub)
-        om_spell = _align(spell_sub, indel + link * (la - 1), indel + link * (lb - 1))
-        xa, xb = np.repeat(sa, la), np.repeat(sb, lb)
-        state_sub = sm[np.ix_(xa, xb)]
-        flat_a, flat_b = np.full(len(xa), indel), np.full(len(xb), indel)
-        om = _align(state_sub, flat_a, flat_b)
-        ta, tb = np.repeat(la, la) ** -0.5, np.repeat(lb, lb) ** -0.5
-        om_slen = _align(state_sub * (ta[:, None] + tb[None, :]) / 2, indel * ta, indel * tb)
-        na, nb = np.append(xa[1:], xa[-1]), np.append(xb[1:], xb[-1])
-        move_a, move_b = (xa != na).astype(float), (xb != nb).astype(float)
-        differs = (xa[:, None] != xb[None, :]) | (na[:, None] != nb[None, :])
-        tran_sub = origin * state_sub + (1 - origin) * np.where(differs, move_a[:, None] + move_b[None, :], 0.0)
-        om_stran = _align(tran_sub, origin * indel + (1 - origin) * move_a, origin * indel + (1 - origin) * move_b)
-        return om, om_spell, om_slen, om_stran
+    def score(pairs: list[tuple]) -> np.ndarray:
+        """The four distances of each pair (states and lengths of both), by lines of all pairs at once."""
+        by_spells = sorted(range(len(pairs)), key=lambda k: -len(pairs[k][0]))
+        by_states = sorted(range(len(pairs)), key=lambda k: -pairs[k][1].sum())
+        out = np.empty((len(pairs), len(OM_NAMES)))
+        sa, la, sb, lb = zip(*(pairs[k] for k in by_spells))
+        ps, pl, qs, ql = map(_padded, (sa, la, sb, lb))
+
+        def spell(n, i):
+            x, m = ps[:n, i, None], pl[:n, i, None]
+            return np.where(x == qs[:n], link * np.abs(m - ql[:n]), sm[x, qs[:n]] + link * (m + ql[:n] - 2))
+
+        out[by_spells, 1] = _align(spell, [indel + link * (x - 1) for x in la], [indel + link * (x - 1) for x in lb])
+        sa, la, sb, lb = zip(*(pairs[k] for k in by_states))
+        xa, xb = [np.repeat(s, n) for s, n in zip(sa, la)], [np.repeat(s, n) for s, n in zip(sb, lb)]
+        ta, tb = [np.repeat(n, n) ** -0.5 for n in la], [np.repeat(n, n) ** -0.5 for n in lb]
+        na, nb = [np.append(x[1:], x[-1]) for x in xa], [np.append(x[1:], x[-1]) for x in xb]
+        move_a, move_b = [(x != y).astype(float) for x, y in zip(xa, na)], [(x != y).astype(float) for x, y in zip(xb, nb)]
+        px, qx, pt, qt, pn, qn, pm, qm = map(_padded, (xa, xb, ta, tb, na, nb, move_a, move_b))
+
+        def plain(n, i):
+            return sm[px[:n, i, None], qx[:n]]
+
+        def slen(n, i):
+            return plain(n, i) * (pt[:n, i, None] + qt[:n]) / 2
+
+        def stran(n, i):
+            differs = (px[:n, i, None] != qx[:n]) | (pn[:n, i, None] != qn[:n])
+            return origin * plain(n, i) + (1 - origin) * np.where(differs, pm[:n, i, None] + qm[:n], 0.0)
+
+        out[by_states, 0] = _align(plain, [np.full(len(x), indel) for x in xa], [np.full(len(x), indel) for x in xb])
+        out[by_states, 2] = _align(slen, [indel * t for t in ta], [indel * t for t in tb])
+        out[by_states, 3] = _align(
+            stran, [origin * indel + (1 - origin) * m for m in move_a], [origin * indel + (1 - origin) * m for m in move_b]
+        )
+        return out
+
+    def coded(runs) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([index[r["state"]] for r in runs]), np.array([r["length"] for r in runs])
 
     def run(batches):
         for pdf in batches:
-            scores = [score(a, b) for a, b in zip(pdf["a"], pdf["b"])]
+            pairs = [(*coded(a), *coded(b)) for a, b in zip(pdf["a"], pdf["b"])]
+            scores = np.empty((len(pairs), len(OM_NAMES)))
+            # pairs with like second sequences go together, as many as keep the lines short
+            size = [(int(p[3].sum()), int(p[1].sum())) for p in pairs]
+            part, longest = [], 0
+            for k in sorted(range(len(pairs)), key=size.__getitem__):
+                if part and max(longest, *size[k]) * (len(part) + 1) > LINE_PLACES:
+                    scores[part] = score([pairs[q] for q in part])
+                    part, longest = [], 0
+                part.append(k)
+                longest = max(longest, *size[k])
+            if part:
+                scores[part] = score([pairs[q] for q in part])
             out = pdf[id_cols].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(scores, columns=OM_NAMES, dtype=float)], axis=1)
+            yield pd.concat([out, pd.DataFrame(scores, columns=OM_NAMES)], axis=1)
 
     ids = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*id_cols).schema)
     return pairs.select(*id_cols, "a", "b").mapInPandas(run, ids + "".join(f", {n} double" for n in OM_NAMES))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise.catalog import sleep
 from strandwise.functions import distributions, text
 from strandwise.operators import graphs, hits, matching, profiles, relational, sequences, series, sessions, skew
 
@@ -230,6 +231,53 @@ def test_edit_distances(spark):
     assert got[3].om == 4.0 and got[3].om_spell == 3.0 and math.isclose(got[3].om_slen, 4 / math.sqrt(2))
 
 
+def aligned(sub, drop, add):
+    """Cheapest alignment over the whole table."""
+    t = np.zeros((len(drop) + 1, len(add) + 1))
+    t[1:, 0], t[0, 1:] = np.cumsum(drop), np.cumsum(add)
+    for i, j in itertools.product(range(len(drop)), range(len(add))):
+        t[i + 1, j + 1] = min(t[i, j] + sub[i, j], t[i, j + 1] + drop[i], t[i + 1, j] + add[j])
+    return t[-1, -1]
+
+
+def test_edit_distances_by_lines_equal_whole_tables(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "LINE_PLACES", 60)
+    rnd, cost = random.Random(4), {"A": {"A": 0, "B": 2.0, "C": 1.5}, "B": {"A": 2.0, "B": 0, "C": 0.7}, "C": {"A": 1.5, "B": 0.7, "C": 0}}
+    costs = spark.createDataFrame([(a, b, float(c)) for a in cost for b, c in cost[a].items() if a != b], "a string, b string, cost double")
+    lists = []
+    for _ in range(24):
+        states = [rnd.choice("ABC")]
+        while rnd.random() < 0.8:
+            states.append(rnd.choice([s for s in "ABC" if s != states[-1]]))
+        lists.append(spell(*[(s, rnd.randint(1, 9)) for s in states]))
+    kind = "array<struct<start:long,state:string,length:long>>"
+    df = spark.createDataFrame([(k, lists[2 * k], lists[2 * k + 1]) for k in range(12)], f"id long, a {kind}, b {kind}").coalesce(1)
+    for r in sequences.edit_distances(df, ["id"], costs).collect():
+        a, b = lists[2 * r.id], lists[2 * r.id + 1]
+        x, y = [[s["state"] for s in q for _ in range(s["length"])] for q in (a, b)]
+        sub = np.array([[cost[i][j] for j in y] for i in x])
+        assert math.isclose(r.om, aligned(sub, [1.0] * len(x), [1.0] * len(y)), abs_tol=1e-9)
+        s, t = [np.array([q["length"] ** -0.5 for q in w for _ in range(q["length"])]) for w in (a, b)]
+        assert math.isclose(r.om_slen, aligned(sub * (s[:, None] + t) / 2, s, t), abs_tol=1e-9)
+        spells = [[0.5 * abs(i["length"] - j["length"]) if i["state"] == j["state"] else cost[i["state"]][j["state"]] + 0.5 * (i["length"] + j["length"] - 2) for j in b] for i in a]
+        assert math.isclose(r.om_spell, aligned(np.array(spells), *[[1 + 0.5 * (i["length"] - 1) for i in w] for w in (a, b)]), abs_tol=1e-9)
+        move = [[float(u != v) for u, v in zip(w, w[1:] + w[-1:])] for w in (x, y)]
+        nx, ny = x[1:] + x[-1:], y[1:] + y[-1:]
+        stran = [[0.5 * cost[i][j] + 0.5 * (move[0][k] + move[1][q]) * ((i, nx[k]) != (j, ny[q])) for q, j in enumerate(y)] for k, i in enumerate(x)]
+        assert math.isclose(r.om_stran, aligned(np.array(stran), *[[0.5 + 0.5 * m for m in w] for w in move]), abs_tol=1e-9)
+
+
+def test_sequence_distances_step_by_minutes(spark):
+    """Each minute that only one of two sessions has costs an insertion."""
+    sf = "/root/testdata/sf0.001"
+    per = sleep._minutes(spark, sf).groupBy("user_id", "session_id").agg((F.max("pos") + 1).alias("n"))
+    a = per.withColumnRenamed("session_id", "a_id").withColumnRenamed("n", "na")
+    b = per.withColumnRenamed("session_id", "b_id").withColumnRenamed("n", "nb")
+    rows = sleep.sequence_distances(spark, sf).join(a, ["user_id", "a_id"]).join(b, ["user_id", "b_id"]).collect()
+    cost = max(r.cost for r in sleep.future_cost(spark, sf).collect())
+    assert rows and all(r.om >= abs(r.na - r.nb) * cost / 2 - 1e-3 for r in rows)
+
+
 def test_transitions_count_inner_gaps(spark):
     df = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (1, 4, "A")], "k long, pos long, state string")
     got = {(r.from_state, r.to_state): r.n for r in sequences.transition_rates(df, ["k"]).collect()}
