@@ -5,8 +5,10 @@
 2. The histogram of piece lengths (at most ``capacity`` rows) goes to the driver. A
    configuration linear program over it is solved by multiplicative weights, with an
    unbounded-knapsack dynamic programme as pricing, and rounded down; what rounding leaves
-   is filled longest first, best fit next. All of this depends on the histogram only, so it
-   costs the same at every input size.
+   is filled longest first, best fit next. The program stops after ``ROUNDS`` rounds, covered
+   or not. The whole histogram is also packed by best fit and by longest fit alone, and the
+   plan with the fewest sequences is taken, so a result may hold nothing of the program.
+   All of this depends on the histogram only, so it costs the same at every input size.
 3. Each piece gets its rank among the pieces of its length. The plan says which sequence and
    offset a rank has. Ranks are counted in cells of a length, so a length that a third of
    all documents share is spread.
