@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    decontamination,
+    fill_in_middle,
     fingerprints,
     html_text,
     language_id,
@@ -13,6 +15,7 @@ from . import (
     packing,
     quality_classifier,
     quality_rules,
+    ranked_search,
     suffix_tree_lm,
     url_filters,
 )
@@ -62,16 +65,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_fingerprints, op3_html_text, op4_language_id, op5_quality_rules,
         op6_suffix_tree_lm, op7_url_filters, op8_quality_classifier, op9_mixing, op10_packing,
+        op11_decontamination, op12_ranked_search, op13_fill_in_middle,
     )
 }
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEXICAL = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL = {
     "op5_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -119,5 +138,45 @@ b AS (SELECT p.source, min_by(h + CASE WHEN 2 * (target - whole * source_size -
   FROM p JOIN g ON g.source IS NOT DISTINCT FROM p.source WHERE cum > target - whole * source_size GROUP BY p.source)
 SELECT d.doc_id, d.size, p.source_size, p.target, (p.whole + CASE WHEN d.h < coalesce(b.upto, 0) THEN 1 ELSE 0 END) * d.size AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source
+""",
+    "op11_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LEXICAL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LEXICAL} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+o AS (SELECT rid, i, k, item FROM dw JOIN bw USING (k, g)),
+h AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM o) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM o) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+""",
+    "op12_ranked_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LEXICAL} AS w FROM documents),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_LEXICAL}) AS term FROM benchmark),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, n),
+m AS (SELECT rid, doc_id, 50 + (50 * len(w) * n) // l AS m FROM d, c),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+  CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+s AS (SELECT doc_id, t, CAST(len(u) AS BIGINT) AS n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+  array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s
 """,
 }

@@ -45,6 +45,17 @@ def n_words(text: Column) -> Column:
     ).otherwise(0)
 
 
+#: What separates the words of the lexical operators, and the letters they lower.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lexical_words(text: Column) -> Column:
+    """Runs of digits, letters and characters beyond ASCII, A-Z lower-cased, in order; none for null."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    return F.array_remove(F.split(lowered, SEPARATORS), "")
+
+
 def bucket_of(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
