@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profiles, relational, sequences, sessions
+from ..operators.skew import cut_lineage
 from .tables import event_records, longs, rounded
 
 STATES = ["click", "error", "purchase", "signup", "view"]
@@ -81,8 +82,12 @@ def minute_states(spark, d):
     return longs(out, "n_minutes", "last_pos")
 
 
+def _spells(spark, d):
+    return sessions.record_spells(_sessions(spark, d), KEYS, "start_us", "end_us", "state", "event_id")
+
+
 def state_distribution(spark, d):
-    return rounded(sequences.state_distribution(_minutes(spark, d)), "share")
+    return rounded(sequences.spell_distribution(_spells(spark, d)), "share")
 
 
 def _typed(spark, d):
@@ -94,20 +99,20 @@ def _typed(spark, d):
 
 
 def state_distribution_by_type(spark, d):
-    m = _minutes(spark, d).join(_typed(spark, d), KEYS)
-    return rounded(sequences.state_distribution(m, ["type"]), "share")
+    m = _spells(spark, d).join(_typed(spark, d), KEYS)
+    return rounded(sequences.spell_distribution(m, ["type"]), "share")
 
 
 def modal_state(spark, d):
-    return rounded(sequences.modal_state(_minutes(spark, d)), "share")
+    return rounded(sequences.spell_modal_state(_spells(spark, d)), "share")
 
 
 def transition_rates(spark, d):
-    return rounded(sequences.transition_rates(_minutes(spark, d), KEYS), "rate")
+    return rounded(sequences.spell_transitions(_spells(spark, d), KEYS), "rate")
 
 
 def future_cost(spark, d):
-    return rounded(sequences.future_cost(sequences.transition_rates(_minutes(spark, d), KEYS)), "cost")
+    return rounded(sequences.future_cost(sequences.spell_transitions(_spells(spark, d), KEYS)), "cost")
 
 
 def sequence_order(spark, d):
@@ -123,12 +128,12 @@ def sequence_order_minutes(spark, d):
 
 
 def state_shares(spark, d):
-    return rounded(sequences.state_shares(_minutes(spark, d), KEYS, STATES), *[f"p_{s}" for s in STATES])
+    return rounded(sequences.spell_shares(_spells(spark, d), KEYS, STATES), *[f"p_{s}" for s in STATES])
 
 
 def near_sequences(spark, d):
     """Distinct share vectors closer than the radius, copies collapsed to one."""
-    shares = rounded(sequences.state_shares(_minutes(spark, d), KEYS, STATES), *[f"p_{s}" for s in STATES])
+    shares = rounded(sequences.spell_shares(_spells(spark, d), KEYS, STATES), *[f"p_{s}" for s in STATES])
     vecs = sequences.distinct_vectors(shares, [f"p_{s}" for s in STATES], F.concat_ws(":", *KEYS))
     out = sequences.near_pairs(vecs, "rep", [f"p_{s}" for s in STATES], 0.02)
     return rounded(out, "distance")
@@ -136,9 +141,8 @@ def near_sequences(spark, d):
 
 def sequence_distances(spark, d):
     """Edit distances of each session to the same user's session before it, minute by minute."""
-    m = _minutes(spark, d)
-    rates = sequences.transition_rates(m, KEYS)
-    spells = sequences.spells(m, KEYS)
+    spells = cut_lineage(_spells(spark, d))
+    rates = sequences.spell_transitions(spells, KEYS)
     lists = sequences.spell_lists(spells, KEYS)
     a = lists.select("user_id", F.col("session_id").alias("a_id"), F.col("spells").alias("a"))
     b = lists.select("user_id", (F.col("session_id") - 1).alias("a_id"), F.col("session_id").alias("b_id"), F.col("spells").alias("b"))
@@ -149,7 +153,7 @@ def sequence_distances(spark, d):
 def sequence_clusters(spark, d):
     """Four session types by bisecting k-means on state shares, profiled by duration."""
     cols = [f"p_{s}" for s in STATES]
-    shares = sequences.state_shares(_minutes(spark, d), KEYS, STATES)
+    shares = sequences.spell_shares(_spells(spark, d), KEYS, STATES)
     typed = sequences.cluster_sequences(shares, KEYS, cols, k=4)
     full = _durations(spark, d).join(typed, KEYS).withColumn("sid", F.concat_ws(":", *KEYS))
     return profiles.group_profile(full, "type", "sid", [*STATES, "total"])

@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sessions import MISSING
 from .skew import attach, cut_lineage, numbered
 
-MISSING = "missing"
 TILE = 2_000
 #: Places of all lines that one step of the alignment works on.
 LINE_PLACES = 50_000
@@ -131,28 +131,66 @@ def spell_lists(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "state", "length"))).alias("spells"))
 
 
+def spell_counts(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, pos, state, n): how many sequences hold each state at each position, from their spells.
+
+    A difference table: a spell adds one at its start and takes it away past its end. Only these
+    sums are moved; running sums go over the positions of a state, of which the calendar bounds the number.
+    """
+    by = by or []
+    ends = F.inline(F.array(
+        F.struct(F.col("start").alias("pos"), F.lit(1).alias("_d")),
+        F.struct((F.col("start") + F.col("length")).alias("pos"), F.lit(-1).alias("_d")),
+    ))
+    steps = runs.where(F.col("state") != MISSING).select(*by, "state", ends).groupBy(*by, "state", "pos").agg(F.sum("_d").alias("_d"))
+    w = Window.partitionBy(*by, "state").orderBy("pos")
+    level = steps.withColumns({"n": F.sum("_d").over(w), "_to": F.lead("pos").over(w)}).where("n > 0")
+    return level.select(*by, F.explode(F.sequence("pos", F.col("_to") - 1)).alias("pos"), "state", "n")
+
+
+def spell_distribution(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``state_distribution`` from spells."""
+    by = by or []
+    total = F.sum("n").over(Window.partitionBy(*by, "pos"))  # one row per state
+    return spell_counts(runs, by).withColumn("share", F.col("n") / total)
+
+
+def spell_modal_state(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``modal_state`` from spells."""
+    by = by or []
+    w = Window.partitionBy(*by, "pos").orderBy(F.desc("n"), "state")  # one row per state
+    return spell_distribution(runs, by).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def spell_transitions(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """``transition_rates`` from spells: a spell stays length - 1 times, then goes to the next one."""
+    follow = F.lead("state").over(Window.partitionBy(*keys).orderBy("start"))
+    stay = F.struct(F.col("state").alias("from_state"), F.col("state").alias("to_state"), (F.col("length") - 1).alias("_n"))
+    move = F.struct(F.col("state").alias("from_state"), F.col("_next").alias("to_state"), F.lit(1).cast("long").alias("_n"))
+    steps = runs.withColumn("_next", follow).select(F.inline(F.array(stay, move))).where("to_state is not null")
+    counts = steps.groupBy("from_state", "to_state").agg(F.sum("_n").alias("n")).where("n > 0")
+    total = F.sum("n").over(Window.partitionBy("from_state"))  # one row per state
+    return counts.withColumn("rate", F.col("n") / total)
+
+
+def spell_shares(runs: DataFrame, keys: list[str], states: list[str]) -> DataFrame:
+    """``state_shares`` from spells."""
+    held = runs.where(F.col("state") != MISSING)
+    return held.groupBy(*keys).agg(
+        *[(F.sum(F.when(F.col("state") == s, F.col("length")).otherwise(0)) / F.sum("length")).alias(f"p_{s}") for s in states]
+    )
+
+
 def distinct_vectors(df: DataFrame, cols: list[str], id_expr: Column) -> DataFrame:
     """Collapse equal vectors to one row: smallest id as ``rep``, and the copies."""
     return df.groupBy(*cols).agg(F.min(id_expr).alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def near_pairs(df: DataFrame, id_col: str, cols: list[str], radius: float) -> DataFrame:
-    """All pairs (a < b) with Euclidean distance up to ``radius``, exactly.
+def meet_in_tiles(left: DataFrame, right: DataFrame, cells: list[str]) -> DataFrame:
+    """Rows of ``left`` (id ``a``) and ``right`` (id ``b``) that share a cell.
 
-    Rows meet only in neighbouring grid cells of the first two coordinates. A
-    crowded cell is cut into tiles of at most ``TILE`` by ``TILE`` rows, each tile
-    its own join key, so no task works through all pairs of a cell.
+    A crowded cell is cut into tiles of at most ``TILE`` by ``TILE`` rows, each tile its own join key.
     """
-    df = cut_lineage(df)  # both sides and the cell sizes read it
-    grid = cols[:2]
-    own = [F.floor(F.col(c) / F.lit(float(radius))).cast("long") for c in grid]
-    cells = [f"_g{i}" for i in range(len(grid))]
-    left = df.select(F.col(id_col).alias("a"), *[F.col(c).alias(f"_a{i}") for i, c in enumerate(cols)], *[o.alias(n) for o, n in zip(own, cells)])
-    shifts = F.array(*[
-        F.struct(*[(o + F.lit(s)).alias(n) for o, s, n in zip(own, shift, cells)])
-        for shift in itertools.product((-1, 0, 1), repeat=len(grid))
-    ])
-    right = df.select(F.col(id_col).alias("b"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(cols)], F.inline(shifts))
     lsize = left.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("_lp"))
     rsize = right.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("_rp"))
     sizes = lsize.join(rsize, cells)
@@ -165,8 +203,27 @@ def near_pairs(df: DataFrame, id_col: str, cols: list[str], radius: float) -> Da
     right = right.withColumn("_tj", F.pmod(F.xxhash64("b"), "_rp")).withColumn(
         "_ti", F.explode(F.sequence(zero, F.col("_lp") - 1))
     )
+    return left.drop("_lp", "_rp").join(right.drop("_lp", "_rp"), [*cells, "_ti", "_tj"])
+
+
+def near_pairs(df: DataFrame, id_col: str, cols: list[str], radius: float) -> DataFrame:
+    """All pairs (a < b) with Euclidean distance up to ``radius``, exactly.
+
+    Rows meet only in neighbouring grid cells of the first two coordinates, tile by
+    tile, so no task works through all pairs of a cell.
+    """
+    df = cut_lineage(df)  # both sides and the cell sizes read it
+    grid = cols[:2]
+    own = [F.floor(F.col(c) / F.lit(float(radius))).cast("long") for c in grid]
+    cells = [f"_g{i}" for i in range(len(grid))]
+    left = df.select(F.col(id_col).alias("a"), *[F.col(c).alias(f"_a{i}") for i, c in enumerate(cols)], *[o.alias(n) for o, n in zip(own, cells)])
+    shifts = F.array(*[
+        F.struct(*[(o + F.lit(s)).alias(n) for o, s, n in zip(own, shift, cells)])
+        for shift in itertools.product((-1, 0, 1), repeat=len(grid))
+    ])
+    right = df.select(F.col(id_col).alias("b"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(cols)], F.inline(shifts))
+    met = meet_in_tiles(left, right, cells)
     sq = sum((F.pow(F.col(f"_a{i}") - F.col(f"_b{i}"), 2) for i in range(1, len(cols))), F.pow(F.col("_a0") - F.col("_b0"), 2))
-    met = left.drop("_lp", "_rp").join(right.drop("_lp", "_rp"), [*cells, "_ti", "_tj"])
     return met.where(F.col("a") < F.col("b")).select("a", "b", F.sqrt(sq).alias("distance")).where(F.col("distance") <= radius)
 
 
@@ -280,7 +337,10 @@ def edit_distances(pairs: DataFrame, id_cols: list[str], costs: DataFrame, link:
             yield pd.concat([out, pd.DataFrame(scores, columns=OM_NAMES)], axis=1)
 
     ids = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*id_cols).schema)
-    return pairs.select(*id_cols, "a", "b").mapInPandas(run, ids + "".join(f", {n} double" for n in OM_NAMES))
+    # a pair costs four alignments: deal pairs to all cores, however small the table is
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pairs.select(*id_cols, "a", "b").repartition(n, *id_cols).mapInPandas(run, ids + "".join(f", {n} double" for n in OM_NAMES))
 
 
 OM_NAMES = ["om", "om_spell", "om_slen", "om_stran"]

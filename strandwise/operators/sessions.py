@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .skew import attach, blocked, null_safe_join, with_stats
 
 HOUR_US = 3_600_000_000
+#: State of the minutes inside a sequence that no record covers.
+MISSING = "missing"
 MINUTE_US = 60_000_000
 DAY_US = 24 * HOUR_US
 
@@ -175,3 +177,35 @@ def minute_states(
         .groupBy(*keys, "pos")
         .agg(F.min_by("_state", "_order").alias("state"))
     )
+
+
+def record_spells(df: DataFrame, keys: list[str], start: str, end: str, state: str, tie: str) -> DataFrame:
+    """The runs of ``minute_states`` as (keys, start, state, length), without a row for each minute.
+
+    A record covers the minutes from its start to its end, and earlier records win. Sorted by
+    start, what is left of a record begins behind the farthest end before it. Records of one session
+    that cover the same minutes are first reduced to the earliest, so a session has no more rows
+    than its calendar allows. Minutes that no record covers are runs of the state ``missing``.
+    """
+    rows = with_stats(df, keys, _low=F.min(start))
+    first = F.floor((F.col(start) - F.col("_low")) / MINUTE_US)
+    last = first + F.floor((F.col(end) - F.col(start)) / MINUTE_US)
+    held = rows.groupBy(*keys, first.cast("long").alias("_p"), last.cast("long").alias("_q")).agg(
+        F.min(F.struct(F.col(start).alias("s"), F.col(tie).alias("t"), F.col(state).alias("state"))).alias("_r")
+    ).where("_q >= _p")
+    w = Window.partitionBy(*keys).orderBy("_p", "_r.s", "_r.t", "_q")
+    reach = F.coalesce(F.max("_q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1).cast("long"))
+    cut = held.withColumn("_at", F.greatest("_p", reach + 1)).where(F.col("_at") <= F.col("_q"))
+    by = Window.partitionBy(*keys).orderBy("_at")
+    state_of = F.col("_r.state")
+    joined = cut.withColumn("_gap", F.col("_at") - F.coalesce(F.lag("_q").over(by) + 1, F.lit(0).cast("long"))).withColumn(
+        "_new", F.lag("_r.state").over(by).isNull() | (F.lag("_r.state").over(by) != state_of) | (F.col("_gap") > 0)
+    )
+    runs = joined.withColumn("_run", F.sum(F.col("_new").cast("int")).over(by))
+    spells = runs.groupBy(*keys, "_run").agg(
+        F.min("_at").alias("start"), F.first(state_of).alias("state"), (F.max("_q") - F.min("_at") + 1).alias("length")
+    ).drop("_run")
+    holes = joined.where("_gap > 0").select(
+        *keys, (F.col("_at") - F.col("_gap")).alias("start"), F.lit(MISSING).alias("state"), F.col("_gap").alias("length")
+    )
+    return spells.unionByName(holes)
