@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .skew import attach, cut_lineage, hot_keys, null_safe_join, numbered, written
 
+#: Levels and rounds a level that the search for communities takes at most.
+LEVELS, MOVES = 10, 12
+
 
 def hierarchy_edges(h: DataFrame, parent: str, left: str, right: str) -> DataFrame:
     """(parent, left, right) rows to (source, target) edges."""
@@ -188,7 +191,7 @@ def filter_vertices(edges: DataFrame, least_degree: int) -> DataFrame:
     return attach(kept, dst, ["dst"], "left_semi", hot_keys(edges, ["dst"]))
 
 
-def communities(edges: DataFrame) -> DataFrame:
+def label_communities(edges: DataFrame) -> DataFrame:
     """Communities by weighted label propagation, deterministic.
 
     A vertex wants the label with the largest summed edge weight among its neighbours
@@ -222,6 +225,87 @@ def communities(edges: DataFrame) -> DataFrame:
         )
 
 
+def _share_within(links: DataFrame, labels: DataFrame, whole: float, hot: DataFrame | None) -> float:
+    """Modularity of labels (id, label, k) over links in both directions."""
+    near = attach(links, labels.select(F.col("id").alias("src"), F.col("label").alias("_a")), ["src"], "inner", hot)
+    there = labels.select(F.col("id").alias("dst"), F.col("label").alias("_b"))
+    inside = attach(near, there, ["dst"], "inner", hot and hot.withColumnRenamed("src", "dst")).where("_a = _b")
+    within = inside.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] / whole
+    return within - labels.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / whole, 2))).first()[0]
+
+
+def _wishes(links: DataFrame, labels: DataFrame, whole: float, hot: DataFrame | None) -> DataFrame:
+    """(id, _new, gain): the neighbouring community where a vertex that gains by moving gains most."""
+    heard = attach(links.where("src <> dst"), labels.select(F.col("id").alias("src"), "label"), ["src"], "inner", hot)
+    votes = heard.groupBy(F.col("dst").alias("id"), "label").agg(F.sum("weight").alias("_w"))
+    totals = labels.groupBy("label").agg(F.sum("k").alias("_tot"))
+    own = labels.join(totals, "label").select("id", F.col("label").alias("_own"), F.col("_tot").alias("_own_tot"), "k")
+    each = votes.join(own, "id").join(totals, "label")
+    at_home = F.col("label") == F.col("_own")
+    gain = F.round(F.col("_w") - F.col("k") * (F.col("_tot") - F.when(at_home, F.col("k")).otherwise(0.0)) / whole, 9)
+    ranked = each.groupBy("id").agg(
+        F.min(F.when(~at_home, F.struct((-gain).alias("g"), "label"))).alias("_best"),
+        F.coalesce(F.max(F.when(at_home, gain)), F.max(F.round(-F.col("k") * (F.col("_own_tot") - F.col("k")) / whole, 9))).alias("_stay"),
+    )
+    rise = -F.col("_best.g") - F.col("_stay")
+    return ranked.where(rise > 0).select("id", F.col("_best.label").alias("_new"), rise.alias("gain"))
+
+
+def _risen(links: DataFrame, labels: DataFrame, whole: float, hot: DataFrame | None, rounds: int) -> tuple[DataFrame, bool]:
+    """Labels after rounds of moves that raise modularity, and whether any did."""
+    now, share, risen, wishes = _share_within(links, labels, whole, hot), 2, False, None
+    for turn in range(rounds):
+        if wishes is None:
+            wishes = written(_wishes(links, labels, whole, hot))
+            if wishes.isEmpty():
+                break
+        # the largest gains go first; of equal ones a hash that differs from turn to turn decides
+        rank = F.col("gain") * (1 + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) / 2.0**40)
+        least = wishes.agg(F.percentile_approx(rank, 1 - 1 / share, 10_000)).first()[0]
+        goes = wishes.where(rank >= least).drop("gain")
+        after = written(labels.join(goes, "id", "left").select("id", "k", F.coalesce("_new", "label").alias("label")))
+        q = _share_within(links, after, whole, hot)
+        if q > now + 1e-9:
+            labels, now, risen, wishes = after, q, True, None
+        elif share < 64:
+            share *= 2  # fewer at once get less into each other's way
+    return labels, risen
+
+
+def communities(edges: DataFrame, levels: int = LEVELS, rounds: int = MOVES) -> DataFrame:
+    """Communities (id, community: the least id of the group) by multi-level modularity.
+
+    On each level vertices go to the neighbouring community where modularity gains most, in a round
+    the half of them that gains more, as two neighbours that move at once can undo each other's gain. A
+    round counts only if modularity rises, otherwise half as many go in the next; a level ends when nobody
+    gains by moving, at the latest after ``rounds``. Its communities are the vertices of the next level, with summed weights. At the
+    end single vertices move once more between the final communities. There are at most ``levels``
+    levels, so at most ``(levels + 1) * rounds`` rounds whatever the graph; modularity never falls.
+    Weights must not be negative; vertices without edges are not listed.
+    """
+    base = both_ways(edges, "src", "dst", "weight").where("src <> dst")
+    base = links = written(base.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")))
+    base_hot = hot = hot_keys(base, ["src"])
+    weights = written(base.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
+    members = weights.select("id", F.col("id").alias("label"))
+    whole = base.agg(F.sum("weight")).first()[0]
+    for _ in range(levels if whole else 0):
+        start = written(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")).withColumn("label", F.col("id")))
+        labels, risen = _risen(links, start, whole, hot, rounds)
+        if not risen:
+            break
+        names = labels.select("id", "label")
+        members = written(attach(members.toDF("id", "_c"), names.toDF("_c", "label"), ["_c"], "inner").select("id", "label"))
+        joined = attach(links, names.toDF("src", "_a"), ["src"], "inner", hot)
+        joined = attach(joined, names.toDF("dst", "_b"), ["dst"], "inner", hot and hot.withColumnRenamed("src", "dst"))
+        links = written(joined.groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        hot = hot_keys(links, ["src"])
+    if whole:
+        members, _ = _risen(base, written(members.join(weights, "id")), whole, base_hot, rounds)
+    least = members.groupBy("label").agg(F.min("id").alias("community"))
+    return attach(members, least, ["label"], "inner").select("id", "community")
+
+
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Modularity of a grouping as one row."""
     links = cut_lineage(both_ways(edges, "src", "dst", "weight"))

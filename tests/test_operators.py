@@ -332,6 +332,47 @@ def test_communities_recover_planted_groups(spark):
     assert graphs.modularity(df, out).first().modularity > 0.4
 
 
+def _modularity(links, label):
+    whole, tot, inside = 0.0, {}, 0.0
+    for a, b, w in links:
+        whole += 2 * w
+        for v in (a, b):
+            tot[label[v]] = tot.get(label[v], 0.0) + w
+        inside += 2 * w * (label[a] == label[b])
+    return inside / whole - sum((t / whole) ** 2 for t in tot.values())
+
+
+@pytest.mark.parametrize("floor", [None, "4"])
+def test_communities_by_levels(spark, floor):
+    """A ring of cliques, a noisy planted graph and a hub: groups, modularity and names."""
+    rng = random.Random(9)
+    ring = [(f"r{8 * c + i:03d}", f"r{8 * c + j:03d}", 1.0) for c in range(12) for i in range(8) for j in range(i)]
+    ring += [(f"r{8 * c:03d}", f"r{(8 * c + 9) % 96:03d}", 1.0) for c in range(12)]
+    planted = []
+    for i in range(120):
+        for j in range(i):
+            if rng.random() < (0.35 if i % 4 == j % 4 else 0.03):
+                planted.append((f"p{i:03d}", f"p{j:03d}", rng.choice([1.0, 2.0])))
+    star = [("hub", f"s{i}", 1.0) for i in range(30)]
+    if floor:
+        spark.conf.set("strandwise.hot.minRows", floor)
+    try:
+        for links, groups in ((ring, 12), (planted, 4), (star, 1))[2 if floor else 0 :]:
+            df = spark.createDataFrame(links, "src string, dst string, weight double")
+            label = {r["id"]: r["community"] for r in graphs.communities(df).collect()}
+            assert label.keys() == {v for a, b, _ in links for v in (a, b)}
+            assert all(label[c] == c and c == min(v for v in label if label[v] == c) for c in set(label.values()))
+            q = _modularity(links, label)
+            assert len(set(label.values())) == groups, (len(set(label.values())), q)
+            assert abs(graphs.modularity(df, spark.createDataFrame(list(label.items()), "id string, community string")).first()[0] - q) < 1e-9
+            if links is planted:
+                truth = {v: int(v[1:]) % 4 for v in label}
+                assert q >= _modularity(links, truth) - 1e-9  # label propagation gets 0.5215 here, as the truth does
+    finally:
+        spark.conf.unset("strandwise.hot.minRows")
+    assert graphs.communities(df.where("false")).count() == 0
+
+
 def test_edge_and_vertex_filters(spark):
     df = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.25), ("a", "a", 3.0), ("c", "d", 1.0), ("c", "e", -0.2)], "src string, dst string, weight double")
     assert {(r.src, r.dst, r.weight) for r in graphs.simplify_edges(df).collect()} == {("a", "b", 0.75), ("c", "d", 1.0), ("c", "e", -0.2)}
