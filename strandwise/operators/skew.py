@@ -213,6 +213,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave and that no later plan reads; others are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        root = f"{checkpoint_dir(spark).rstrip('/')}/table-"
+        files = df.inputFiles()
+        at = files[0].find("/table-") if files else -1
+        if at >= 0 and root.split("://")[-1].split(":", 1)[-1].strip("/") in files[0]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0][: at + len("/table-") + 32])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Sum of ``value`` over all earlier rows of a total order, without one task seeing all rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
