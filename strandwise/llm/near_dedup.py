@@ -9,8 +9,9 @@ similarity of their weighted shingles.
 Exact copies are one node. Nodes meet in bands of ``ROWS`` registers. In each bucket every node
 is compared with the bucket's hub; what stays in another component is compared by further hubs
 drawn from the smaller components, until no two nodes of a bucket that are in different
-components are left unseen. So a bucket of n copies makes about n pairs, not n squared, and no
-link is lost within the bands. Candidates pass an estimate from the registers (five standard
+components are left unseen. So a bucket of n copies that link makes about n pairs, not n squared;
+nodes of one bucket that do not link are all compared, each pair once in the whole run. No link is
+lost within the bands. Candidates pass an estimate from the registers (five standard
 errors below the threshold), then the exact similarity of their shingles, and links are joined
 to components by alternating large and small stars.
 
@@ -30,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import discard
 from .common import SPACES, fresh, lookup, settled
 
 WORDS = 5
@@ -38,7 +40,7 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Least share of equal registers for the exact comparison: five standard errors below.
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-#: Hubs that a bucket takes in one round after the first.
+#: Hubs that a bucket takes in the second round; each later round takes twice as many.
 HUBS = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -127,12 +129,13 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 def _few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
-    """``df`` in as many tasks as its measured size asks for.
+    """``df`` dealt to as many tasks as its measured size asks for.
 
-    Links and buckets are small next to the texts and are settled many times; a task, or a
-    call to Python, for each shuffle partition would cost more than the work.
+    Links and buckets are small next to the texts and are settled many times; a file, or a
+    call to Python, for each shuffle partition would cost more than the work. What ``df`` is
+    made of runs at its own width: only its rows move to the fewer tasks.
     """
-    return df.coalesce(max(1, -(-rows // per_task)))
+    return df.repartition(max(1, -(-rows // per_task)))
 
 
 def _in_few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
@@ -207,6 +210,8 @@ def _sets(nodes: DataFrame, docs: DataFrame, nids: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """The pairs of exact similarity at or above the threshold: u, v. ``rows``: of the buckets."""
     near = settled(_estimated(pairs, low, rows))
+    need = settled(near.select(F.explode(F.array("u", "v")).alias("nid")).distinct())
+    held = lookup(sets, need, ["nid"], "left_semi")  # only these sets move
 
     @F.pandas_udf("boolean")
     def alike(ia: pd.Series, wa: pd.Series, ib: pd.Series, wb: pd.Series) -> pd.Series:
@@ -216,9 +221,11 @@ def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame, rows: int) -> D
 
         return pd.Series([similarity(*one(a, p), *one(b, q)) >= SIMILARITY - 1e-9 for a, p, b, q in zip(ia, wa, ib, wb)])
 
-    side = lambda k, a, w: sets.select(F.col("nid").alias(k), F.col("ids").alias(a), F.col("weights").alias(w))
+    side = lambda k, a, w: held.select(F.col("nid").alias(k), F.col("ids").alias(a), F.col("weights").alias(w))
     both = near.join(side("u", "ia", "wa"), "u").join(side("v", "ib", "wb"), "v")
-    return settled(_few(both, rows, 5_000).where(alike("ia", "wa", "ib", "wb")).select("u", "v"))
+    out = settled(_few(both, rows, 5_000).where(alike("ia", "wa", "ib", "wb")).select("u", "v"))
+    discard(near, need)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,7 +261,8 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     few = lambda df: _in_few(df, rows, 200_000)
     nids = few(entries.select("nid").distinct())
     low, sets = few(nodes.select("nid", "low").join(nids, "nid")), _sets(nodes, docs, nids)
-    links = _verified(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct(), low, sets, rows)
+    seen = settled(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct())
+    links = _verified(seen, low, sets, rows)
     found = few(components(links))
     # buckets of two are seen; larger ones may hold nodes of several components that have not met
     many = entries.where("n > 2").select("b", "nid")
@@ -265,19 +273,25 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         top = groups.groupBy("b").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         outside = placed.join(top.select("b", F.col("top.root").alias("main")), "b").where("root <> main").join(used, ["b", "nid"], "left_anti")
         outside = few(outside.select("b", "nid", "root"))
-        draw = outside.groupBy("b").agg(F.min("nid").alias("first"), F.ceil(F.count(F.lit(1)) / HUBS).alias("one_in"))
+        hubs_now = HUBS * 2 ** min(turn, 20)
+        draw = outside.groupBy("b").agg(F.min("nid").alias("first"), F.ceil(F.count(F.lit(1)) / hubs_now).alias("one_in"))
         chosen = few(
             outside.join(draw, "b").where((F.col("nid") == F.col("first")) | (F.pmod(F.xxhash64("nid", "b", F.lit(turn)), F.col("one_in")) == 0))
             .select("b", F.col("nid").alias("hub"), F.col("root").alias("hub_root"))
         )
         if chosen.isEmpty():
             return found
-        pairs = placed.join(chosen, "b").where("root <> hub_root").select(F.greatest("nid", "hub").alias("u"), F.least("nid", "hub").alias("v")).distinct()
+        pairs = placed.join(chosen, "b").where("root <> hub_root").select(F.greatest("nid", "hub").alias("u"), F.least("nid", "hub").alias("v"))
+        # a pair that was compared in another bucket or an earlier round is not compared again
+        known = seen.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        pairs = settled(pairs.distinct().join(known, ["u", "v"], "left_anti"))
         fresh_links = _verified(pairs, low, sets, rows)
-        used = few(used.unionByName(chosen.select("b", F.col("hub").alias("nid"))))
+        used, seen = few(used.unionByName(chosen.select("b", F.col("hub").alias("nid")))), seen.unionByName(pairs)
         if not fresh_links.isEmpty():
             stars = found.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v"))
-            found = few(components(stars.unionByName(fresh_links)))
+            before, found = found, few(components(stars.unionByName(fresh_links)))
+            discard(before)
+        discard(placed, outside, chosen, fresh_links)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
