@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chapters, jobs, matching, neighbours, networks, relational, sleep, text
+from . import chapters, exchange, jobs, matching, neighbours, networks, relational, sleep, text
 
-_MODULES = (sleep, neighbours, relational, jobs, chapters, text, networks, matching)
+_MODULES = (sleep, neighbours, relational, jobs, chapters, text, networks, matching, exchange)
 
 
 def all_queries() -> dict:

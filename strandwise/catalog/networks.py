@@ -176,6 +176,13 @@ def topic_share(spark, d):
     return rounded(graphs.topic_share(docs, cut_lineage(_members(spark, d)), "chapter", "topic", 50), "share")
 
 
+def topic_share_bands(spark, d):
+    """Cluster shares per part, filled with zeros, and the band of 437 parts it belongs to."""
+    lines = table(spark, d, "lineitem")
+    docs = lines.select((F.col("l_partkey") + 1).alias("chapter"), F.col("l_quantity").cast("long").alias("topic"))
+    return rounded(graphs.dense_topic_share(docs, cut_lineage(_members(spark, d)), "chapter", "topic", 437), "share")
+
+
 def hierarchy_layout(spark, d):
     out = graphs.hierarchy_layout(_tree(spark, d), "parent", "left", "right", "distance")
     return rounded(out, "x", "xend", "y", "yend")
@@ -187,6 +194,7 @@ QUERIES = {
         term_hits, doc_freq, cooccurrence, pair_mean, term_correlation, correlation_graph, median_edges, degree_filter,
         vertex_degree, simple_edges, communities, community_modularity, region_modularity, node_table, link_table,
         pair_evidence, hierarchy_edges, region_edges, region_depth, hierarchy_depth, words_at_depth, topic_share,
+        topic_share_bands,
         hierarchy_layout,
     )
 }
@@ -266,6 +274,12 @@ SQL = {
         j AS (SELECT chapter, coalesce(cluster, -1) AS cluster, count(*) AS n FROM mem FULL JOIN d USING (topic_id) GROUP BY 1, 2)
         SELECT CAST(chapter AS BIGINT) AS chapter, CAST(cluster AS BIGINT) AS cluster, n,
           round(n * 1.0 / sum(n) OVER (PARTITION BY chapter), 6) AS share FROM j""",
+    "topic_share_bands": f"""WITH {_MEM}, d AS (SELECT l_partkey + 1 AS chapter, CAST(l_quantity AS BIGINT) AS topic_id FROM lineitem),
+        j AS (SELECT chapter, coalesce(cluster, -1) AS cluster, count(*) AS n FROM mem FULL JOIN d USING (topic_id) GROUP BY 1, 2),
+        s AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY chapter) AS share FROM j),
+        g AS (SELECT chapter, cluster FROM (SELECT DISTINCT chapter FROM j WHERE chapter IS NOT NULL), (SELECT DISTINCT cluster FROM j))
+        SELECT CAST(chapter AS BIGINT) AS chapter, CAST(cluster AS BIGINT) AS cluster, coalesce(n, 0) AS n,
+          round(coalesce(share, 0), 6) AS share, CAST((chapter - 1) // 437 + 1 AS BIGINT) AS band FROM g LEFT JOIN s USING (chapter, cluster)""",
     "hierarchy_layout": f"""WITH RECURSIVE {_TREE}, e AS (SELECT parent, unnest([l, r]) AS child, h FROM tree),
         leaf AS (SELECT child AS id, row_number() OVER (ORDER BY h, child) * 1.0 AS y FROM e
                  WHERE child NOT IN (SELECT parent FROM tree)),

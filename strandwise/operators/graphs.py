@@ -96,6 +96,16 @@ def topic_share(docs: DataFrame, members: DataFrame, chapter: str, topic: str, w
     return known.select(F.col("chapter").cast("long").alias("chapter"), "cluster", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
+def dense_topic_share(docs: DataFrame, members: DataFrame, chapter: str, topic: str, band: int) -> DataFrame:
+    """``topic_share`` per single chapter with a row for every cluster (0 where it has no sentence)
+    and the number of the run of ``band`` chapters that the chapter falls into, from 1."""
+    share = cut_lineage(topic_share(docs, members, chapter, topic))
+    every = share.agg(F.array_sort(F.collect_set("cluster"))).scalar()  # as many as the hierarchy is cut into
+    grid = share.where("chapter is not null").select("chapter").distinct().withColumn("cluster", F.explode(every))
+    full = grid.join(share, ["chapter", "cluster"], "left").fillna(0, ["n", "share"])
+    return full.withColumn("band", F.floor((F.col("chapter") - 1) / band).cast("long") + 1)
+
+
 def _chained(lines: DataFrame) -> DataFrame:
     """Compose y = a * y(next) + b along runs of parents that each wait for one child.
 
