@@ -7,13 +7,17 @@ as soon as no register can change. Two texts agree in a register with the probab
 similarity of their weighted shingles.
 
 Exact copies are one node. Nodes meet in bands of ``ROWS`` registers. In each bucket every node
-is compared with the bucket's hub; what stays in another component is compared by further hubs
-drawn from the smaller components, until no two nodes of a bucket that are in different
-components are left unseen. So a bucket of n copies that link makes about n pairs, not n squared;
-nodes of one bucket that do not link are all compared, each pair once in the whole run. No link is
-lost within the bands. Candidates pass an estimate from the registers (five standard
-errors below the threshold), then the exact similarity of their shingles, and links are joined
-to components by alternating large and small stars.
+is compared with the bucket's hub, the node that meets the most others in all its buckets; so
+the buckets of one group of copies mostly share their hub. Further hubs come from the nodes outside the
+bucket's largest component for as long as hubs find links (``PAYS``). Then every node outside it
+is compared with the bucket's nodes of other components, block by block: blocks of about
+``BLOCK_BYTES`` with registers and shingles meet, each pair in the first bucket that the two
+share, and only links leave the task. So n copies that link make about n pairs; nodes of one
+bucket that do not link are compared by their registers, which is quadratic in their number,
+but make no rows. No link is lost within the bands: two texts of similarity 0.8
+share none of them with probability 0.00007. Candidates pass an estimate from the registers
+(five standard errors below the threshold), then the exact similarity of their shingles, and
+links are joined to components by alternating large and small stars.
 
 Defined cases: a null or empty text, or one without a word, is a class of its own; a text of
 fewer than ``WORDS`` words is one shingle; equal texts are one class; of repeated rows ``keep``
@@ -23,7 +27,6 @@ empty table; other columns are left alone.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +43,10 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Least share of equal registers for the exact comparison: five standard errors below.
 LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-#: Hubs that a bucket takes in the second round; each later round takes twice as many.
-HUBS = 32
+#: A round of hubs is followed by another one if this share of its pairs were links.
+PAYS = 0.125
+#: Size of one block of nodes, on average; the shingles of one text stay together.
+BLOCK_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -117,6 +122,9 @@ def band_keys(owner: np.ndarray) -> np.ndarray:
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Probability Jaccard similarity of two weighted sets of sorted ids."""
+    if (wa == 1).all() and (wb == 1).all():
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared / max(1, len(a) + len(b) - shared)
     ids = np.union1d(a, b)
     x, y = np.zeros(len(ids)), np.zeros(len(ids))
     x[np.searchsorted(ids, a)], y[np.searchsorted(ids, b)] = wa, wb
@@ -207,24 +215,85 @@ def _sets(nodes: DataFrame, docs: DataFrame, nids: DataFrame) -> DataFrame:
     return settled(texts.select("nid", "text").mapInPandas(run, "nid bigint, ids binary, weights binary").dropDuplicates(["nid"]))
 
 
-def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
-    """The pairs of exact similarity at or above the threshold: u, v. ``rows``: of the buckets."""
-    near = settled(_estimated(pairs, low, rows))
+def _alike(ids_a: bytes, weights_a: bytes, ids_b: bytes, weights_b: bytes) -> bool:
+    """Whether two packed sets of shingles reach the threshold."""
+
+    def one(ids, weights):
+        i = np.frombuffer(ids, dtype="<u8")
+        return i, np.frombuffer(weights, dtype="<u4") if weights else np.ones(len(i))
+
+    return similarity(*one(ids_a, weights_a), *one(ids_b, weights_b)) >= SIMILARITY - 1e-9
+
+
+def _exact(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``near`` (settled) of exact similarity at or above the threshold: u, v."""
     need = settled(near.select(F.explode(F.array("u", "v")).alias("nid")).distinct())
     held = lookup(sets, need, ["nid"], "left_semi")  # only these sets move
 
     @F.pandas_udf("boolean")
     def alike(ia: pd.Series, wa: pd.Series, ib: pd.Series, wb: pd.Series) -> pd.Series:
-        def one(ids, weights):
-            i = np.frombuffer(ids, dtype="<u8")
-            return i, np.frombuffer(weights, dtype="<u4") if weights else np.ones(len(i))
-
-        return pd.Series([similarity(*one(a, p), *one(b, q)) >= SIMILARITY - 1e-9 for a, p, b, q in zip(ia, wa, ib, wb)])
+        return pd.Series([_alike(*pair) for pair in zip(ia, wa, ib, wb)])
 
     side = lambda k, a, w: held.select(F.col("nid").alias(k), F.col("ids").alias(a), F.col("weights").alias(w))
     both = near.join(side("u", "ia", "wa"), "u").join(side("v", "ib", "wb"), "v")
-    out = settled(_few(both, rows, 5_000).where(alike("ia", "wa", "ib", "wb")).select("u", "v"))
-    discard(near, need)
+    out = settled(_few(both, near.count(), 2_000).where(alike("ia", "wa", "ib", "wb")).select("u", "v"))
+    discard(need)
+    return out
+
+
+def _verified(pairs: DataFrame, low: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """The pairs of exact similarity at or above the threshold: u, v. ``rows``: of the buckets."""
+    near = settled(_estimated(pairs, low, rows))
+    out = _exact(near, sets)
+    discard(near)
+    return out
+
+
+def _by_blocks(placed: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: links between nodes outside and the nodes of other components in their buckets.
+
+    ``placed`` has all nodes of these buckets (band, b, nid, root, out), ``marks`` the bands and
+    low bits of the registers of a node, ``sets`` its shingles. Each pair is compared once, in the
+    first of the buckets that it shares.
+    """
+    nids = settled(placed.select("nid").distinct())
+    marks = settled(marks.join(nids, "nid").join(sets, "nid").withColumn("bytes", F.length("ids") + F.length("weights") + 500))
+    nodes = placed.join(marks.select("nid", "bytes"), "nid")
+    parts = settled(nodes.groupBy("b").agg(
+        F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("parts"), F.ceil(F.sum(F.when(F.col("out"), F.col("bytes"))) / BLOCK_BYTES).alias("turns")
+    ))
+    share = lambda n: F.pmod(F.xxhash64("nid"), F.col(n))
+    dealt = placed.join(parts, "b").withColumns({"part": share("parts"), "turn": share("turns")}).join(marks.drop("bytes"), "nid")
+    fields = ("nid", "root", "low", "bands", "ids", "weights")
+
+    def blocks(df: DataFrame, keys: list[str], to: str, more: tuple = ()) -> DataFrame:
+        packed = df.groupBy(*keys).agg(F.collect_list(F.struct(*fields, *more)).alias("x"))
+        return settled(packed.select(*keys, *[F.col(f"x.{c}").alias(f"{to}_{c}") for c in (*fields, *more)]))
+
+    left = blocks(dealt, ["b", "band", "part", "turns"], "m", ("out",))
+    right = blocks(dealt.where("out"), ["b", "turn"], "h")
+    met = left.select("b", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        regs = lambda x: np.frombuffer(b"".join(x), dtype="<u2").reshape(-1, REGISTERS)
+        for batch in batches:
+            found = []
+            for r in batch.itertuples():
+                nid, root, out = np.array(r.m_nid), np.array(r.m_root), np.array(r.m_out)
+                low, keys = regs(r.m_low), np.stack(r.m_bands)
+                for hub, of, mark, bands, ids, weights in zip(r.h_nid, r.h_root, regs(r.h_low), r.h_bands, r.h_ids, r.h_weights):
+                    # two nodes that are both outside meet twice; the greater one is the hub
+                    at = np.flatnonzero((root != of) & (~out | (nid < hub)))
+                    at = at[(keys[at] == bands).argmax(axis=1) == r.band]
+                    at = at[(low[at] == mark).mean(axis=1) >= LEAST_ESTIMATE]
+                    found += [
+                        (max(nid[k], hub), min(nid[k], hub)) for k in at if _alike(r.m_ids[k], r.m_weights[k], ids, weights)
+                    ]
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    joined = met.join(left.drop("turns"), ["b", "part"]).join(right, ["b", "turn"]).drop("b", "part", "turn")
+    out = settled(joined.repartition(max(1, -(-met.count() // 8))).mapInPandas(run, "u bigint, v bigint"))
+    discard(nids, marks, parts, left, right)
     return out
 
 
@@ -254,44 +323,47 @@ def components(links: DataFrame) -> DataFrame:
 
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Components over all links of the bands: nid, root."""
-    spread = nodes.select("nid", F.explode("bands").alias("b"))
-    hubs = spread.groupBy("b").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = settled(spread.join(hubs, "b").select("b", "nid", "hub", "n"))
+    spread = nodes.select("nid", F.posexplode("bands").alias("band", "b"))
+    shared = spread.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = settled(spread.join(shared, "b").select("b", "band", "nid", "n"))
     rows = entries.count()
     few = lambda df: _in_few(df, rows, 200_000)
-    nids = few(entries.select("nid").distinct())
-    low, sets = few(nodes.select("nid", "low").join(nids, "nid")), _sets(nodes, docs, nids)
-    seen = settled(entries.where("nid <> hub").select(F.col("nid").alias("u"), F.col("hub").alias("v")).distinct())
+    nids = few(entries.groupBy("nid").agg(F.sum("n").alias("meets")))
+    marks, sets = few(nodes.select("nid", "low", "bands").join(nids.select("nid"), "nid")), _sets(nodes, docs, nids.select("nid"))
+    low = marks.select("nid", "low")
+    entries = few(entries.join(nids, "nid"))
+    central = lambda df: df.groupBy("b").agg(F.max(F.struct("meets", "nid")).alias("x")).select("b", F.col("x.nid").alias("hub"))
+    pair = lambda df: df.select(F.greatest("nid", "hub").alias("u"), F.least("nid", "hub").alias("v"))
+    seen = few(pair(entries.join(central(entries), "b").where("nid <> hub")).distinct())
     links = _verified(seen, low, sets, rows)
-    found = few(components(links))
+    found, paid = few(components(links)), links.count() >= PAYS * seen.count()
     # buckets of two are seen; larger ones may hold nodes of several components that have not met
-    many = entries.where("n > 2").select("b", "nid")
-    used = entries.where("n > 2 and nid = hub").select("b", "nid")
-    for turn in itertools.count():
-        placed = few(many.join(found, "nid", "left").select("b", "nid", F.coalesce("root", "nid").alias("root")))
+    many = entries.where("n > 2").select("b", "band", "nid", "meets")
+    while True:
+        placed = few(many.join(found, "nid", "left").withColumn("root", F.coalesce("root", "nid")))
         groups = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("c"))
         top = groups.groupBy("b").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        outside = placed.join(top.select("b", F.col("top.root").alias("main")), "b").where("root <> main").join(used, ["b", "nid"], "left_anti")
-        outside = few(outside.select("b", "nid", "root"))
-        hubs_now = HUBS * 2 ** min(turn, 20)
-        draw = outside.groupBy("b").agg(F.min("nid").alias("first"), F.ceil(F.count(F.lit(1)) / hubs_now).alias("one_in"))
-        chosen = few(
-            outside.join(draw, "b").where((F.col("nid") == F.col("first")) | (F.pmod(F.xxhash64("nid", "b", F.lit(turn)), F.col("one_in")) == 0))
-            .select("b", F.col("nid").alias("hub"), F.col("root").alias("hub_root"))
-        )
-        if chosen.isEmpty():
+        placed = few(placed.join(top.select("b", F.col("top.root").alias("main")), "b"))
+        outside = placed.where("root <> main")
+        if outside.isEmpty():
             return found
-        pairs = placed.join(chosen, "b").where("root <> hub_root").select(F.greatest("nid", "hub").alias("u"), F.least("nid", "hub").alias("v"))
-        # a pair that was compared in another bucket or an earlier round is not compared again
-        known = seen.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = settled(pairs.distinct().join(known, ["u", "v"], "left_anti"))
-        fresh_links = _verified(pairs, low, sets, rows)
-        used, seen = few(used.unionByName(chosen.select("b", F.col("hub").alias("nid")))), seen.unionByName(pairs)
+        last = not paid
+        if not last:
+            hubs = outside.join(central(outside), "b").where("nid = hub").select("b", "hub", F.col("root").alias("hub_root"))
+            pairs = pair(placed.join(hubs, "b").where("root <> hub_root")).distinct()
+            pairs = few(pairs.join(seen, ["u", "v"], "left_anti"))  # no pair is compared twice
+            fresh_links = _verified(pairs, low, sets, rows)
+            paid, seen = fresh_links.count() >= max(1, PAYS * pairs.count()), seen.unionByName(pairs)
+        else:
+            out = (F.col("root") != F.col("main")).alias("out")
+            fresh_links = _by_blocks(placed.select("b", "band", "nid", "root", out), marks, sets)
         if not fresh_links.isEmpty():
             stars = found.where("nid <> root").select(F.col("nid").alias("u"), F.col("root").alias("v"))
             before, found = found, few(components(stars.unionByName(fresh_links)))
             discard(before)
-        discard(placed, outside, chosen, fresh_links)
+        discard(placed, fresh_links)
+        if last:
+            return found
 
 
 def _classes(docs: DataFrame) -> DataFrame:
