@@ -10,7 +10,9 @@ nearest such ancestor labels a block. ``labelled_pages`` makes them from a layou
 no label comes from the pages that are read. The likelihood is maximised by full gradients.
 
 Defined cases: a null or empty page has the empty text; character references are decoded; tags
-left open or cut off at the end of the page close there; scripts, styles, templates, comments,
+left open or cut off at the end of the page close there; a quote that does not follow "=" or is never
+closed is an ordinary character of its tag; end tags without a start are skipped; very long and deeply
+nested pages take time in proportion to their length; scripts, styles, templates, comments,
 form controls and the head are never text; formulas (MathML), the text of drawings (SVG) and
 fallback text (noscript, object, canvas, iframe, audio, video) are inline text of their block;
 an svg or math tag that ends in "/>" closes at once; repeated rows are alike; an empty table gives an
@@ -48,7 +50,9 @@ CLOSES_P = frozenset(
     "header hgroup hr li main menu nav ol p pre section table ul dt dd".split()
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "p": ()}
+SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+#: Elements that a paragraph cannot be closed across.
+ENDS_P = ("table", "td", "th", "article", "body", "div", "section")
 
 #: Tags that mean in a drawing or formula what they mean elsewhere; its other tags are inline.
 HTML_IN_FOREIGN = VOID | INLINE | UNSEEN - {"title"} | CLOSES_P | frozenset(SIBLINGS) | frozenset("html body caption tbody tfoot thead".split())
@@ -56,7 +60,8 @@ HTML_IN_FOREIGN = VOID | INLINE | UNSEEN - {"title"} | CLOSES_P | frozenset(SIBL
 APART = frozenset("text title desc".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|data-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _HINTS = [
@@ -119,6 +124,10 @@ def blocks(html: str | None) -> list[Block]:
     html = html or ""
     out: list[Block] = []
     stack: list[tuple[str, frozenset, str | None, bool]] = [("", frozenset(), None, False)]
+    # places in the stack: of each tag, of what an inline end tag cannot leave, of all but inline elements
+    places: dict[str, list[int]] = {}
+    walls: list[int] = [0]
+    lumps: list[int] = [0]
     parts: list[str] = []
     linked, in_link, foreign, at = 0, 0, 0, 0
 
@@ -128,7 +137,7 @@ def blocks(html: str | None) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                below = next(e for e in reversed(stack) if e[0] not in INLINE)
+                below = stack[lumps[-1]]
                 out.append(Block(text, below[1].union(_text_features(text, linked, below[0])), stack[-1][2]))
         linked = 0
 
@@ -136,8 +145,22 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal in_link, foreign
         in_link -= sum(1 for e in stack[k:] if e[0] == "a")
         foreign -= sum(1 for e in stack[k:] if e[0] in FOREIGN)
+        for e in stack[k:]:
+            places[e[0]].pop()
+        for at in (walls, lumps):
+            while at[-1] >= k:
+                at.pop()
         del stack[k:]
 
+    def last(tags: tuple) -> int:
+        """Place of the innermost open element of these tags; 0 for none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def leave(tags: tuple, scope: tuple) -> None:
+        """Close the innermost open element of ``tags`` unless an element of ``scope`` lies within it."""
+        if (k := last(tags)) > last(scope):
+            close(k)
+
     def text(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1][3]:
@@ -165,13 +188,12 @@ def blocks(html: str | None) -> list[Block]:
             if not m[1] and closed and (tag in FOREIGN or tag in RAW):
                 continue
             if not m[1] and (tag in CLOSES_P or tag in SIBLINGS):  # a block ends the drawing
-                close(next(i for i, e in enumerate(stack) if e[0] in FOREIGN))
+                close(min(places[t][0] for t in FOREIGN if places.get(t)))
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k:
+            if k := last((tag,)):
                 if tag not in WITHIN:
                     flush()
-                elif any(e[0] not in WITHIN for e in stack[k:]):
+                elif walls[-1] > k:
                     continue  # an inline end tag does not close blocks
                 close(k)
             elif tag in ("p", "br"):
@@ -183,13 +205,13 @@ def blocks(html: str | None) -> list[Block]:
         if tag not in WITHIN:
             flush()
             if tag in CLOSES_P:
-                _leave(stack, ("p",), (), close)
+                leave(("p",), ENDS_P)
             if tag in SIBLINGS:
-                _leave(stack, SIBLINGS[tag], SCOPES[tag], close)
+                leave(SIBLINGS[tag], SCOPES[tag])
         if tag in VOID:
             continue
         if tag == "body":
-            _leave(stack, ("head",), (), close)
+            leave(("head",), ENDS_P)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -198,6 +220,11 @@ def blocks(html: str | None) -> list[Block]:
         above = stack[-1]
         if tag in ("header", "footer", "aside", "form"):
             own = own | {f"in:{tag}@{'article' if 'in:article' in above[1] or 'in:main' in above[1] else 'page'}"}
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in WITHIN:
+            walls.append(len(stack))
+        if tag not in INLINE:
+            lumps.append(len(stack))
         stack.append((tag, above[1] | own, label or above[2], above[3] or tag in UNSEEN))
         in_link += tag == "a"
         foreign += tag in FOREIGN
@@ -206,16 +233,6 @@ def blocks(html: str | None) -> list[Block]:
     return out
 
 
-def _leave(stack: list, tags: tuple, scope: tuple, close) -> None:
-    """Close the nearest open element of ``tags`` unless an element of ``scope`` lies between."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in tags:
-            return close(i)
-        if stack[i][0] in scope or not scope and stack[i][0] in ("table", "td", "th", "article", "body", "div", "section"):
-            return None
-    return None
-
-
 @dataclass
 class Field:
     """Weights of features for the label main, and of label changes."""
