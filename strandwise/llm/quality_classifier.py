@@ -161,14 +161,21 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on the bounded sample; held-out documents and their labels are not used."""
+    """Fit on the bounded sample; held-out documents and their labels are not used.
+
+    Of rows that share a doc_id the text of least hash stands for all, so the sample is bounded by
+    ids and by rows.
+    """
     rows = lookup(docs.select("doc_id", "text"), settled(_sample(docs, labels)), ["doc_id"], "inner")
+    one = F.min_by(F.struct("text", "positive"), F.xxhash64("text")).alias("x")
+    rows = rows.groupBy("doc_id").agg(one).select("doc_id", "x.text", "x.positive")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t).astype(np.float16).tobytes())
 
-    got = rows.select("positive", packed("text").alias("x")).toPandas()  # bounded by the sample
+    got = rows.select("doc_id", "positive", packed("text").alias("x")).toPandas()  # one row for each id of the sample
+    got = got.sort_values("doc_id")
     x = np.frombuffer(b"".join(got["x"]), dtype=np.float16).reshape(-1, N_FEATURES).astype(np.float32)
     flag = got["positive"].to_numpy(bool)
     return fit(x[flag], x[~flag])
