@@ -125,7 +125,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 """,
     "op9_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
 w AS (SELECT *, 1 + (rn - 1) % 3 AS w, 3 * source_size AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / w, rn) AS k, sum(cap) OVER (ORDER BY cap / w, rn) AS caps, sum(w) OVER (ORDER BY cap / w, rn) AS ws,

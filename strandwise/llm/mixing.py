@@ -1,12 +1,12 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document has a fixed 60-bit hash. Per source, tokens are summed by the high hash bits;
+Each document has a fixed 60-bit hash of its doc_id and text. Per source, tokens are summed by the high hash bits;
 the bucket in which the budget runs out is the only one that is refined, by the next bits,
 until one hash value is left. A document is taken when its hash lies below the threshold of
 its source, so nothing is sorted and no row moves but in small sums.
 
-Defined cases: a null text has size 0; null sources form one source, last in order; rows with
-equal doc_id share one hash and are taken together; a source without tokens has target 0; an
+Defined cases: a null text has size 0; null sources form one source, last in order; rows
+that share a doc_id (or have none) are told apart by their texts, rows equal in both are taken together; a source without tokens has target 0; an
 empty table gives an empty table; other columns are left alone.
 """
 
@@ -24,8 +24,9 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 
 
-def _hash(key: Column) -> Column:
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+def _hash() -> Column:
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -97,7 +98,7 @@ def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
 def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = docs.select(
         "doc_id", F.col("source").isNull().alias("_null"), _key(F.col("source")).alias("_src"),
-        n_words(F.col("text")).alias("_size"), _hash(F.col("doc_id")).alias("_hash"),
+        n_words(F.col("text")).alias("_size"), _hash().alias("_hash"),
     )
     sizes = settled(sizes)
     return sizes, thresholds(sizes, targets(sizes))
@@ -119,7 +120,7 @@ def mix(docs: DataFrame) -> DataFrame:
     names = {"_whole": fresh(docs, "_whole"), "_upto": fresh(docs, "_upto")}
     side = plan.select("_src", "_whole", "_upto").withColumnsRenamed({"_src": key} | names)
     joined = lookup(docs.withColumn(key, _key(F.col("source"))), settled(side), [key])
-    times = F.col(names["_whole"]) + (_hash(F.col("doc_id")) < F.col(names["_upto"])).cast("long")
+    times = F.col(names["_whole"]) + (_hash() < F.col(names["_upto"])).cast("long")
     return (
         joined.where(times > 0)
         .withColumn(mark, F.explode(F.sequence(F.lit(1).cast("long"), times)))
