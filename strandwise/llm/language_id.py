@@ -10,8 +10,8 @@ lattice) from a bounded sample of labelled texts: about ``MAX_DOCS`` whole texts
 chosen by a hash of doc_id. Every text is scored whole.
 
 Words are runs of letters, lower-cased, each led by the vocabulary's word mark. A run of more
-than ``LONGEST`` letters is scored in parts of that length. A letter outside the vocabulary is
-one unknown piece.
+than ``LONGEST`` letters is scored in parts of that length. All letters outside the vocabulary are
+one and the same unknown piece; byte pieces are not used.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the first
 language by code point; repeated rows are alike; without labelled rows every text is ``und``;
@@ -38,7 +38,6 @@ ROUNDS = 3
 #: Added to the expected count of every piece.
 PRIOR = 0.05
 LONGEST = 48
-LONGEST_PIECE = 12
 HOLD_OUT_MOD, HOLD_OUT_REST = 4, 2
 UNKNOWN, NONE = 0, -1
 _LETTERS = regex.compile(r"\p{L}+")
@@ -64,6 +63,7 @@ class Lattice:
     step: np.ndarray
     piece: np.ndarray
     n_pieces: int
+    longest: int
 
     def coded(self, words: list[str]) -> np.ndarray:
         """Letter numbers of words of one length, the word mark first; 0: not in the vocabulary."""
@@ -75,7 +75,7 @@ class Lattice:
         width = coded.shape[1]
         for i in range(width):
             rows = np.arange(len(coded))
-            for j in range(i, min(width, i + LONGEST_PIECE + 1)):
+            for j in range(i, min(width, i + self.longest)):
                 node = self.first[coded[:, i]] if j == i else self.step[node, self.inner[coded[rows, j]]]
                 if j == i:
                     yield i, j + 1, rows, np.where((node > 0) & (self.piece[node] >= 0), self.piece[node], UNKNOWN)
@@ -93,7 +93,7 @@ def lattice(path: str) -> Lattice:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = sorted({p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) and not model.is_control(i)
-                     and not model.is_byte(i) and not model.is_unknown(i) and len(p) <= LONGEST_PIECE + 1
+                     and not model.is_byte(i) and not model.is_unknown(i)
                      and p == p.lower() and (p == "▁" or p.removeprefix("▁").isalpha())})
     letters = {c: k + 1 for k, c in enumerate(sorted({c for p in pieces for c in p}))}
     nodes: dict[str, int] = {"": 0}
@@ -112,7 +112,7 @@ def lattice(path: str) -> Lattice:
             step[nodes[s[:-1]], inner[letters[s[-1]]]] = k
     for k, p in enumerate(pieces):
         piece[nodes[p]] = k + 1
-    return Lattice(letters, first, inner, step, piece, len(pieces) + 1)
+    return Lattice(letters, first, inner, step, piece, len(pieces) + 1, max(map(len, pieces), default=1))
 
 
 def words_of(text: str | None) -> list[str]:
