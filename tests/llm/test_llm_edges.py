@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns for every operator."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,45 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, tmp_path):
         found = stage(spark, plain, str(tmp_path))
         assert found.columns == plain.columns
     assert corpus_pipeline.STAGES[-1][1](spark, plain.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("html, expected", [
+    ("<p class=don't>Text", ["Text"]),
+    ("a<!-->b</p><p>c", ["ab", "c"]),
+    ("a<!-- x --!>b", ["ab"]),
+    ("<p title='x>y'>T</p>", ["T"]),
+    ('<p title="open>Text</p><p>more', ["Text", "more"]),
+    ("<b><p>x</b>y</p>z", ["xy", "z"]),
+])
+def test_malformed_tags_lose_no_text(html, expected):
+    assert [b.text for b in html_text.blocks(html)] == expected
+
+
+def test_deep_pages_take_time_in_proportion():
+    n = 100_000
+    for html in ("<div>" * n + "</b>" * n, "<b>" + "<div>" * n + "</b>" * n, "<blockquote>" * n, "<b>" * n + "x<div></div>" * n):
+        begun = time.process_time()
+        html_text.blocks(html + "<p>end")
+        assert time.process_time() - begun < 30
+
+
+def test_classifier_collects_one_row_for_a_repeated_id(spark):
+    rows = [(7 if i < 400 else i, f"text number {i} of a few plain words") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (7, *range(400, 500))], "doc_id long, quality int")
+    sizes = []
+    whole = quality_classifier.fit
+    quality_classifier.fit = lambda p, u: sizes.append(len(p) + len(u)) or whole(p, u)
+    try:
+        quality_classifier.learn(docs, labels)
+    finally:
+        quality_classifier.fit = whole
+    assert sizes[0] <= docs.select("doc_id").distinct().count()
+
+
+def test_mix_splits_rows_without_ids(spark):
+    rows = [(None, " ".join(f"a{i}_{k}" for k in range(5)), "a") for i in range(300)] + [(i, "one two", "b") for i in range(100)]
+    found = mixing.shares(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for size in (5, 2):
+        mine = [r for r in found if r["size"] == size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= size

@@ -80,6 +80,25 @@ def test_near_group_hangs_together_by_its_base_alone(spark):
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute_classes(texts)
 
 
+def test_copies_that_do_not_all_link_equal_brute_force(spark, monkeypatch):
+    """Copies of one base with few to many changes share buckets and are in part not near anything; several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 20_000)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(160):
+        w = [f"w{i}" for i in range(100)]
+        for at in rng.integers(0, 100, k % 8):
+            w[at] = f"x{k}_{at}"
+        texts.append((k, " ".join(w)))
+    calls = []
+    whole = near_dedup._by_blocks
+    monkeypatch.setattr(near_dedup, "_by_blocks", lambda *a: calls.append(1) or whole(*a))
+    found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    expected = brute_classes(texts)
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == expected
+    assert calls and 2 < len(set(expected.values())) < 160
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     ids = np.unique(rng.integers(1, 2**63, 400, dtype=np.uint64))
