@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, hits
 from ..operators.skew import attach, cut_lineage
+from ..plans import chapters
 from .tables import r6, rounded, table
 
 
@@ -125,6 +126,34 @@ def pair_evidence(spark, d):
     return hits.pair_evidence(_hits(spark, d), notes, "o_orderkey", "note", 5)
 
 
+def _segment(spark, d):
+    """Orders up to the first change of the mean daily price, and their suppliers that are in credit."""
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    o = table(spark, d, "orders").withColumns({"day": day, "all_rows": F.lit(1), "sure": F.col("o_orderstatus") == "F"})
+    o = o.withColumn("note", F.concat_ws(" ", "o_orderpriority", "o_orderstatus"))
+    daily = o.groupBy("all_rows", "day").agg(F.avg("o_totalprice").alias("price"))
+    end = chapters.first_segment_end(daily, "all_rows", "day", "price", q=1, penalty=-1e9)
+    people = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("term"))
+    last = end.select("last_chapter").scalar()
+    return chapters.segment_terms(_hits(spark, d), o, "o_orderkey", "day", last, F.col("sure"), people)
+
+
+def segment_terms(spark, d):
+    """Orders of the first segment that hold each of its suppliers."""
+    return hits.doc_freq(cut_lineage(_segment(spark, d)[1])).select("term", "n_docs")
+
+
+def segment_evidence(spark, d):
+    """The completed orders of the first segment behind its five heaviest pairs, row by row."""
+    chosen, found = _segment(spark, d)
+    return hits.pair_evidence(cut_lineage(found), chosen, "o_orderkey", "note", 5, F.col("sure"))
+
+
+def segment_evidence_text(spark, d):
+    """The same evidence as one string a pair."""
+    return hits.evidence_texts(cut_lineage(segment_evidence(spark, d)))
+
+
 def _tree(spark, d):
     """A binary tree over part numbers: node k has children 2k and 2k + 1."""
     p = table(spark, d, "part")
@@ -193,7 +222,7 @@ QUERIES = {
     for f in (
         term_hits, doc_freq, cooccurrence, pair_mean, term_correlation, correlation_graph, median_edges, degree_filter,
         vertex_degree, simple_edges, communities, community_modularity, region_modularity, node_table, link_table,
-        pair_evidence, hierarchy_edges, region_edges, region_depth, hierarchy_depth, words_at_depth, topic_share,
+        pair_evidence, segment_terms, segment_evidence, segment_evidence_text, hierarchy_edges, region_edges, region_depth, hierarchy_depth, words_at_depth, topic_share,
         topic_share_bands,
         hierarchy_layout,
     )
@@ -209,6 +238,24 @@ _DF = "df AS (SELECT term, count(*) AS n FROM hits GROUP BY 1)"
 _CORR = f"""{_CO}, {_DF}, nn AS (SELECT count(*) * 1.0 AS nn FROM orders), corr AS (
   SELECT a, b, weight, x.n AS na, y.n AS nb, (nn * weight - x.n * y.n) / nullif(sqrt(x.n * (nn - x.n) * y.n * (nn - y.n)), 0) AS r
   FROM co JOIN df x ON x.term = a JOIN df y ON y.term = b, nn)"""
+_COST = "{n} * (ln(2 * pi()) + ln(({s2} - ({s1}) * ({s1}) / ({n})) / ({n})) + 1)"
+_SEG = f"""dy AS (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day, avg(o_totalprice) AS price
+    FROM orders GROUP BY 1),
+  x AS (SELECT day, price - avg(price) OVER () AS v FROM dy),
+  rs AS (SELECT day, row_number() OVER w AS n, sum(v) OVER w AS s1, sum(v * v) OVER w AS s2,
+    count(*) OVER () AS m, sum(v) OVER () AS t1, sum(v * v) OVER () AS t2 FROM x WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING)),
+  cp AS (SELECT arg_max(day, {_COST.format(n="m", s1="t1", s2="t2")} - {_COST.format(n="n", s1="s1", s2="s2")}
+    - {_COST.format(n="(m - n)", s1="(t1 - s1)", s2="(t2 - s2)")}) AS last FROM rs WHERE n >= 2 AND n <= m - 2),
+  ch AS (SELECT o_orderkey, o_orderstatus = 'F' AS sure, o_orderpriority || ' ' || o_orderstatus AS note FROM orders
+    WHERE date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) <= (SELECT last FROM cp)),
+  ah AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_suppkey AS VARCHAR) AS term FROM lineitem JOIN ch ON o_orderkey = l_orderkey),
+  kw AS (SELECT DISTINCT term FROM ah JOIN ch ON o_orderkey = doc_id WHERE sure
+    AND term IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)),
+  hits AS (SELECT doc_id, term FROM ah JOIN kw USING (term)),
+  co AS (SELECT x.term AS a, y.term AS b, count(*) AS weight FROM hits x JOIN hits y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY 1, 2),
+  top AS (SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS rank FROM co ORDER BY rank LIMIT 5),
+  ev AS (SELECT rank, a, b, weight, x.doc_id, note AS text FROM top JOIN hits x ON x.term = a JOIN hits y ON y.term = b AND x.doc_id = y.doc_id
+    JOIN ch ON o_orderkey = x.doc_id WHERE sure)"""
 _MED = "med AS (SELECT * FROM co WHERE weight >= (SELECT quantile_cont(weight, {q}) FROM co))"
 _DEG = "deg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM {t} UNION ALL SELECT b FROM {t}) GROUP BY 1)"
 _TREE = """tree AS (SELECT p_partkey + 1 AS parent, 2 * (p_partkey + 1) AS l, 2 * (p_partkey + 1) + 1 AS r, p_retailprice AS h, p_size
@@ -261,6 +308,11 @@ SQL = {
           ORDER BY rank LIMIT 5)
         SELECT rank, a, b, weight, x.doc_id, o_orderpriority || ' ' || o_orderstatus AS text FROM top
         JOIN hits x ON x.term = a JOIN hits y ON y.term = b AND x.doc_id = y.doc_id JOIN orders ON o_orderkey = x.doc_id""",
+    "segment_terms": f"WITH {_SEG} SELECT term, count(*) AS n_docs FROM hits GROUP BY 1",
+    "segment_evidence": f"WITH {_SEG} SELECT * FROM ev",
+    "segment_evidence_text": f"""WITH {_SEG} SELECT rank, a, b, weight, max(n) AS n_texts,
+        string_agg(text, chr(10) ORDER BY doc_id, text) FILTER (k <= 1000) AS text
+        FROM (SELECT *, count(*) OVER (PARTITION BY rank) AS n, row_number() OVER (PARTITION BY rank ORDER BY doc_id, text) AS k FROM ev) GROUP BY 1, 2, 3, 4""",
     "hierarchy_edges": f"WITH {_TREE} SELECT parent AS source, l AS target FROM tree UNION ALL SELECT parent, r FROM tree",
     "region_edges": f"WITH {_REG} SELECT * FROM reg",
     "region_depth": f"""WITH RECURSIVE {_REG}, walk AS (SELECT 'root' AS id, CAST(0 AS BIGINT) AS depth

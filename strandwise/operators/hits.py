@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import top_k
 from .skew import attach, cut_lineage, hot_keys, numbered, pick_hot
 
 TILE = 1_000
@@ -142,11 +143,13 @@ def term_correlation(hits: DataFrame, n_docs: Column | int) -> DataFrame:
     return rows.select("a", "b", "weight", ((nn * F.col("weight") - na * nb) / F.nullif(below, F.lit(0.0))).alias("r"))
 
 
-def pair_evidence(hits: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
+def pair_evidence(
+    hits: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = 5, sure: Column | None = None
+) -> DataFrame:
     """All texts holding both ends of the k heaviest pairs, one row per text.
 
-    Rows carry the pair's rank and are read in document order; one joined string
-    per pair could not hold a large pair.
+    Pairs are weighed over all hits; ``sure`` says which of ``docs`` are read as evidence.
+    Rows carry the pair's rank and are read in document order; ``evidence_texts`` joins them.
     """
     top = cooccurrence(hits).orderBy(F.desc("weight"), "a", "b").limit(k)
     top = numbered(top, [F.desc("weight"), "a", "b"], "rank").select("rank", "a", "b", "weight")
@@ -154,5 +157,18 @@ def pair_evidence(hits: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     a = hits.join(ends, F.col("term") == F.col("a")).select("doc_id", "rank", "a", "b", "weight")
     b = hits.join(ends.select(F.col("rank").alias("_r"), F.col("b").alias("_b")), F.col("term") == F.col("_b"))
     both = a.join(b.select("doc_id", F.col("_r").alias("rank")), ["doc_id", "rank"])
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = (docs if sure is None else docs.where(sure)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return both.join(texts, "doc_id").select("rank", "a", "b", "weight", "doc_id", "text")
+
+
+def evidence_texts(evidence: DataFrame, most: int = 1000) -> DataFrame:
+    """One string a pair: its texts in document order, one a line, and how many there are.
+
+    A string holds the first ``most`` texts; ``n_texts`` counts all, and the rows of
+    ``pair_evidence`` hold them all.
+    """
+    pair = ["rank", "a", "b", "weight"]
+    sizes = evidence.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_texts"))
+    first = top_k(evidence, pair, [F.col("doc_id"), F.col("text")], most, "_at")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"])
+    return sizes.join(first.groupBy(*pair).agg(F.array_join(lines, "\n").alias("text")), pair)

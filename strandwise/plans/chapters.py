@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.relational import lump_n
+from ..operators.series import change_points
 
 LIST_COLUMNS = ["rep_ori", "rep_keybert", "rep_mmr"]
 
@@ -25,6 +26,22 @@ def segment_keywords(sentences: DataFrame, last_chapter, names: DataFrame) -> Da
     return words.intersect(names.select("name"))
 
 
+def first_segment_end(series_df: DataFrame, key: str, order: str, x: str, q: int = 15, penalty: float | None = None) -> DataFrame:
+    """Per series the last chapter before its first change point (the last of all without one): key, last_chapter."""
+    points = change_points(series_df, [key], order, x, q=q, penalty=penalty)
+    first = points.groupBy(key).agg(F.min("at_order").alias("_first"))
+    ends = series_df.where(F.col(x).isNotNull()).groupBy(key).agg(F.max(order).alias("_last"))
+    return ends.join(first, key, "left").select(key, F.coalesce("_first", "_last").alias("last_chapter"))
+
+
+def segment_terms(hits: DataFrame, docs: DataFrame, id_col: str, chapter: str, last_chapter, sure: Column, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents up to ``last_chapter``, and their hits of terms that a sure one holds and that are ``names``."""
+    chosen = docs.where(F.col(chapter) <= last_chapter)
+    inside = hits.join(chosen.select(F.col(id_col).alias("doc_id"), sure.alias("_sure")), "doc_id")
+    terms = inside.where("_sure").select("term").intersect(names.select("term"))
+    return chosen, inside.drop("_sure").join(terms, "term", "left_semi")
+
+
 def topic_stream(sentences: DataFrame, n: int = 5) -> DataFrame:
     """Sentences per chapter and topic for the n most frequent topics, with the
     keywords of the first sentence."""
