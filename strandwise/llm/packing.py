@@ -4,10 +4,8 @@
    is cut, and its first piece may be the short one.
 2. The histogram of piece lengths (at most ``capacity`` rows) goes to the driver. A
    configuration linear program over it is solved by multiplicative weights, with an
-   unbounded-knapsack dynamic programme as pricing, and rounded down; what rounding leaves
-   is filled longest first, best fit next. The program stops after ``ROUNDS`` rounds, covered
-   or not. The whole histogram is also packed by best fit and by longest fit alone, and the
-   plan with the fewest sequences is taken, so a result may hold nothing of the program.
+   unbounded-knapsack dynamic programme as pricing, until every length is covered, and rounded;
+   what rounding leaves is packed longest first, best fit next.
    All of this depends on the histogram only, so it costs the same at every input size.
 3. Each piece gets its rank among the pieces of its length. The plan says which sequence and
    offset a rank has. Ranks are counted in cells of a length, so a length that a third of
@@ -35,8 +33,9 @@ from .common import settled
 
 CAPACITY = 2048
 END_ID = 0
-#: Pricing rounds of the linear program and step of the weights.
-ROUNDS, STEP = 250, 0.5
+#: Step of the weights, part of the best worth within which a configuration is used, accuracy of
+#: the program's cost, and covers of every length at most (more of them are finer steps).
+STEP, NEAR, ACCURACY, MOST_UNITS = 0.5, 0.05, 0.001, 8
 #: Cells of one length, and rows that a cell may grow to before more are made.
 CELLS, CELL_ROWS = 256, 4_000_000
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -105,48 +104,104 @@ def token_pieces(
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
-def price(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths that fits: ``value[l]`` per piece of length l (0: none)."""
-    lengths = np.flatnonzero(value[: capacity + 1] > 0)
-    worth = value[lengths]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=int)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+def _priced(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack over all rooms: the greatest worth that fits, and the piece added last (0: none)."""
+    lengths = np.flatnonzero(worth[: capacity + 1] > 0)[::-1]  # longest first, ties go to it
+    value = worth[lengths]
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    fits = len(lengths) - np.searchsorted(lengths[::-1], np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        k = upto[c]
-        best[c], last[c] = best[c - 1], 0
-        if k:
-            sums = worth[:k] + best[c - lengths[:k]]
+        k = fits[c]
+        best[c] = best[c - 1]
+        if k < len(lengths):
+            sums = value[k:] + best[c - lengths[k:]]
             i = int(sums.argmax())
             if sums[i] > best[c]:
-                best[c], last[c] = sums[i], lengths[i]
+                best[c], last[c] = sums[i], lengths[k + i]
+    return best, last
+
+
+def _filled(room: int, last: np.ndarray) -> dict[int, int]:
+    """The multiset of lengths that ``_priced`` found for a room."""
     found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c]:
-            found[int(last[c])] = found.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
+    while room > 0:
+        n = int(last[room])
+        if n:
+            found[n] = found.get(n, 0) + 1
+        room -= n or 1
     return found
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution of the configuration program by multiplicative weights."""
-    left = counts.astype(float)
-    worth = np.where(counts > 0, np.arange(len(counts), dtype=float), 0.0)
-    covered = np.zeros(len(counts))
-    found: dict[tuple, float] = {}
-    for _ in range(rounds):
-        config = price(worth, capacity)
-        if not config:
+def price(value: np.ndarray, capacity: int) -> dict[int, int]:
+    """The most valuable multiset of lengths that fits: ``value[l]`` per piece of length l (0: none)."""
+    return _filled(capacity, _priced(value, capacity)[1])
+
+
+def _covering(counts: np.ndarray, capacity: int, units: int) -> tuple[dict[tuple, float], float, float]:
+    """Configurations that cover every length ``units`` times, their cost for one cover, and a lower bound.
+
+    One knapsack a round prices the best configuration around every length. All that are
+    within ``NEAR`` of the best are used, a length growing by at most one cover a round; then
+    worths fall with the growth. A length that is covered ``units`` times has no worth any more.
+    """
+    lengths = np.flatnonzero(counts)
+    worth, covered, found = np.zeros(len(counts)), np.zeros(len(counts)), {}
+    worth[lengths] = lengths
+    cost = bound = 0.0
+    while len(lengths):
+        live = np.zeros(len(counts))
+        live[lengths] = worth[lengths]
+        best, last = _priced(live, capacity)
+        bound = max(bound, float(counts @ live) / best[capacity])
+        unit = np.minimum(1.0, units - covered) * counts
+        left = unit.copy()
+        around = live[lengths] + best[capacity - lengths]
+        for i in np.argsort(-around, kind="stable"):
+            n = int(lengths[i])
+            if around[i] < (1 - NEAR) * best[capacity]:
+                break
+            if left[n] <= 0:
+                continue
+            config = _filled(capacity - n, last)
+            config[n] = config.get(n, 0) + 1
+            times = min(left[m] / k for m, k in config.items())
+            if times <= 0:
+                continue
+            key = tuple(sorted(config.items()))
+            found[key] = found.get(key, 0.0) + times
+            cost += times
+            for m, k in config.items():
+                left[m] -= k * times
+                if left[m] < 1e-9 * counts[m]:
+                    left[m] = 0.0
+        grown = np.zeros(len(counts))
+        grown[lengths] = (unit[lengths] - left[lengths]) / counts[lengths]
+        covered += grown
+        worth *= np.exp(-STEP * grown)
+        worth /= worth[lengths].max()
+        lengths = lengths[covered[lengths] < units - 1e-9]
+    return found, cost / units, bound
+
+
+def configurations(counts: np.ndarray, capacity: int, most_units: int = MOST_UNITS) -> list[tuple[dict[int, int], float]]:
+    """Fractional solution of the configuration program by multiplicative weights.
+
+    It covers every length exactly. More units mean smaller steps: they are doubled until the
+    cost is within ``ACCURACY`` of the best lower bound (from the weights) or ``most_units``
+    is reached; the cheapest solution is returned.
+    """
+    if not counts.any():
+        return []
+    units, bound, found = 1, 0.0, []
+    while units <= most_units:
+        used, cost, lower = _covering(counts, capacity, units)
+        bound = max(bound, lower)
+        found.append((cost, units, used))
+        if cost <= (1 + ACCURACY) * bound:
             break
-        times = min(left[n] / k for n, k in config.items())
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + times
-        for n, k in config.items():
-            covered[n] += k * times / counts[n]
-            worth[n] *= np.exp(-STEP * k * times / counts[n])
-    return [(dict(k), x / max(1.0, max(covered[n] for n, _ in k))) for k, x in found.items()]
+        units *= 2
+    _, units, used = min(found, key=lambda f: f[:2])
+    return [(dict(k), x / units) for k, x in used.items()]
 
 
 def _best_fit(room: int, lengths: list[int], left: np.ndarray) -> dict[int, int]:
@@ -169,23 +224,13 @@ def _best_fit(room: int, lengths: list[int], left: np.ndarray) -> dict[int, int]
     return found
 
 
-def _longest_fit(room: int, lengths: list[int], left: np.ndarray) -> dict[int, int]:
-    """The room filled by the longest piece that fits, again and again."""
-    found = {}
-    for n in lengths:
-        if k := int(min(left[n], room // n)):
-            found[n] = k
-            room -= n * k
-    return found
-
-
-def fill(left: np.ndarray, capacity: int, fit=_best_fit) -> list[tuple[dict[int, int], int]]:
+def fill(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Pack what is left: the longest piece, then the best fit for its gap; many bins at a time."""
     plan, present = [], [int(n) for n in np.flatnonzero(left)[::-1]]
     while present:
         n = present[0]
         left[n] -= 1
-        config = fit(capacity - n, [m for m in present if m <= capacity - n], left)
+        config = _best_fit(capacity - n, [m for m in present if m <= capacity - n], left)
         left[n] += 1
         config[n] = config.get(n, 0) + 1
         times = min(int(left[m]) // k for m, k in config.items())
@@ -196,23 +241,32 @@ def fill(left: np.ndarray, capacity: int, fit=_best_fit) -> list[tuple[dict[int,
     return plan
 
 
-def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def rounded(counts: np.ndarray, solution: list[tuple[dict[int, int], float]], capacity: int) -> tuple[list, np.ndarray]:
+    """Whole configurations, largest shares first, and the pieces left over.
+
+    Shares of configurations that fill their sequence are rounded to the nearest number, others
+    down; never beyond the pieces there are.
+    """
+    left, plan = counts.copy(), []
+    for config, x in sorted(solution, key=lambda c: -c[1]):
+        full = sum(n * k for n, k in config.items()) == capacity
+        times = int(min(np.floor(x + (0.5 if full else 1e-9)), min(left[n] // k for n, k in config.items())))
+        if times:
+            plan.append((config, times))
+            for n, k in config.items():
+                left[n] -= k * times
+    return plan, left
+
+
+def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, most_units: int = MOST_UNITS) -> list[tuple[dict[int, int], int]]:
     """Configurations and how many sequences use each; every piece is placed exactly once."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in histogram.items():
         counts[n] = c
     full = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
     counts[capacity] = 0
-    others = [fill(counts.copy(), capacity, f) for f in (_best_fit, _longest_fit)]
-    left, plan = counts.copy(), []
-    for config, x in sorted(configurations(counts, capacity, rounds), key=lambda c: -c[1]):
-        times = int(min(np.floor(x), min(left[n] // k for n, k in config.items())))
-        if times:
-            plan.append((config, times))
-            for n, k in config.items():
-                left[n] -= k * times
-    plan += fill(left, capacity)
-    return full + min([plan, *others], key=lambda p: sum(t for _, t in p))
+    plan, left = rounded(counts, configurations(counts, capacity, most_units), capacity)
+    return full + plan + fill(left, capacity)
 
 
 def _slots(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:

@@ -390,6 +390,22 @@ def test_plan_places_every_length_once(seed):
     assert total <= least * 1.02 + 1
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_program_covers_every_length_exactly(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.bincount(np.clip(rng.lognormal(4, 1, 5000).astype(int), 1, 255), minlength=257)
+    solution = packing.configurations(counts, 256)
+    covered = np.zeros(257)
+    for config, x in solution:
+        assert sum(n * k for n, k in config.items()) <= 256 and x > 0
+        for n, k in config.items():
+            covered[n] += k * x
+    assert np.allclose(covered, counts, rtol=1e-6)
+    plan, left = packing.rounded(counts, solution, 256)
+    assert (left >= 0).all() and left.sum() < 0.1 * counts.sum()
+    assert packing.configurations(np.zeros(257, dtype=int), 256) == []
+
+
 def test_price_is_the_best_multiset():
     value = np.zeros(13)
     value[[3, 5, 7]] = [2.0, 3.6, 5.1]
