@@ -1,21 +1,24 @@
 """Language model scores from a probabilistic suffix tree.
 
 Symbols are the UTF-8 bytes of a text (A-Z lower-cased) and one text boundary. Over all training
-texts every run of ``DEPTH`` + 1 symbols is counted. A context is kept if its share of all
-positions is at least ``MIN_SHARE`` and its next-symbol distribution diverges from that of the
-next shorter context by at least ``MIN_GAIN`` (share times Kullback-Leibler divergence); with a
-context, all its suffixes are kept. Each distribution is smoothed towards that of its suffix.
-For scoring the kept contexts become an automaton whose states know their longest kept suffix.
-
-At most 1 / ``MIN_SHARE`` contexts of each length can reach the share, so the model is bounded
-whatever the corpus; the counts behind it cover all training texts and grow with them.
+texts every run of ``DEPTH`` + 1 symbols is counted. A context is a candidate if it occurs at least
+``LEAST`` times, and is kept if the likelihood of its next symbols gains at least ``MIN_GAIN`` nats
+over those of the next shorter context (its count times the Kullback-Leibler divergence); with a
+context, all its suffixes are kept. Both limits are absolute, so the tree grows with the corpus.
+Counting, the divergence test and the closure are Spark aggregates and joins. Each distribution,
+with all symbols of its context, is smoothed towards that of its suffix.
+
+For scoring the tree is dealt to parts by the last two symbols of a context. A part holds at most
+``PART_NODES`` contexts (or those of a single pair of symbols) and scores the positions after its
+pairs, whose longest kept suffix it holds. Parts are collected and broadcast one at a time; the
+first goes over all rows, further ones add a pass each, and partial sums meet by text.
 
 The base score is a word unigram model. Words that reach ``WORD_SHARE`` of all tokens (at most
 1 / ``WORD_SHARE`` words) are looked up from a broadcast table; the tokens of all other words
 are joined with their counts.
 
 Defined cases: a null text is an empty text, which has the end alone; repeated rows each count;
-a null doc_id is held out, as crc32 of the empty text is 0; without training rows the root is
+a null doc_id is held out, as crc32 of the empty text is 0; repeated texts score alike; without training rows the root is
 uniform; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -33,16 +36,15 @@ from pyspark.sql import functions as F
 from .common import bucket_of, settled
 
 DEPTH = 5
-MIN_SHARE = 5e-6
-MIN_GAIN = 2e-7
-#: Counts of a (context, symbol) below this part of the least context are left to the smoothing.
-FINE = 16
+LEAST = 256
+MIN_GAIN = 60.0
+PART_NODES = 40_000
 SMOOTH = 8.0
 WORD_SHARE = 2e-6
 N_SYMBOLS = 257
 BITS = 9
-#: Symbols that one counting or scoring step takes; texts in a run are cut to this length.
-STEP_SYMBOLS, RUN = 4_000_000, 1024
+#: Symbols that one counting or scoring step takes.
+STEP_SYMBOLS = 4_000_000
 #: Distinct words that a task gathers before it passes them on.
 MOST_WORDS = 400_000
 HOLD_OUT_MOD = 10
@@ -104,16 +106,21 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Automaton:
-    """``step`` and ``logp`` are states x classes; ``classes`` maps symbols to classes."""
+class Part:
+    """Contexts as a trie that reads backwards; ``child`` has the rows of inner nodes only.
+
+    ``classes`` maps symbols to columns; symbols without a count share the last one, evenly.
+    ``owned`` marks the pairs of last symbols whose positions the part scores (None: all).
+    """
 
     classes: np.ndarray
     extra: np.ndarray
-    step: np.ndarray
+    child: np.ndarray
     logp: np.ndarray
+    owned: np.ndarray | None
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
+        """log10 probability of the part's positions in each text, its end included."""
         out = np.zeros(len(texts))
         part, size, first = [], 0, 0
         for i, raw in enumerate(texts):
@@ -125,109 +132,136 @@ class Automaton:
         return out
 
     def _score(self, texts: list[bytes]) -> np.ndarray:
-        runs, owner = [], []
-        out = np.zeros(len(texts))
-        for i, raw in enumerate(texts):
-            s = symbols(raw)
-            out[i] = self.extra[s[DEPTH:]].sum()
-            c = self.classes[s]
-            for at in range(DEPTH, len(c), RUN):  # each run starts with the symbols before it
-                runs.append(c[at - DEPTH : at + RUN])
-                owner.append(i)
-        order = np.argsort([-len(r) for r in runs], kind="stable")
-        longest = len(runs[order[0]])
-        grid = np.zeros((len(runs), longest), dtype=np.int32)
-        lengths = np.empty(len(runs), dtype=np.int64)
-        for row, k in enumerate(order):
-            grid[row, : len(runs[k])] = runs[k]
-            lengths[row] = len(runs[k])
-        grid = np.ascontiguousarray(grid.T)
-        live = np.searchsorted(-lengths, -np.arange(longest), side="left")
-        width, step, logp = self.step.shape[1], self.step.ravel(), self.logp.ravel()
-        state, total = np.zeros(len(runs), dtype=np.int32), np.zeros(len(runs))
-        for t in range(longest):
-            n = live[t]
-            at = state[:n] * width + grid[t, :n]
-            if t >= DEPTH:
-                total[:n] += logp[at]
-            state[:n] = step[at]
-        np.add.at(out, np.array(owner)[order], total)
-        return out
-
-
-def _unpack(code: int, k: int) -> tuple[int, ...]:
-    return tuple((code >> BITS * (k - 1 - i)) & (2**BITS - 1) for i in range(k))
-
-
-def build(rows: pd.DataFrame, total: int) -> Automaton:
-    """Automaton from counts (k, context code, symbol, n, n_context) that pass the shares."""
-    table: dict[tuple, tuple[np.ndarray, np.ndarray, int]] = {}
-    for (k, ctx), g in rows.groupby(["k", "ctx"], sort=False):
-        table[_unpack(int(ctx), int(k))] = (g["sym"].to_numpy(), g["n"].to_numpy(float), int(g["n_ctx"].iloc[0]))
-    seen, counts, n_all = table.get((), (np.zeros(0, dtype=int), np.zeros(0), 0))
+        lines = [symbols(raw) for raw in texts]
+        sizes = np.array([len(x) - DEPTH for x in lines])
+        line = np.concatenate(lines)
+        c = self.classes[line]
+        at = np.arange(sizes.sum()) + np.repeat(DEPTH * np.arange(1, len(lines) + 1), sizes)
+        owner = np.repeat(np.arange(len(lines)), sizes)
+        if self.owned is not None:
+            mine = self.owned[(line[at - 2] << BITS) | line[at - 1]]
+            at, owner = at[mine], owner[mine]
+        inner, width = self.child.shape
+        child, logp = self.child.ravel(), self.logp.ravel()
+        node, live = np.zeros(len(at), dtype=np.int32), np.arange(len(at))
+        here = node
+        for k in range(1, DEPTH + 1):
+            here = child[here * np.int64(width) + c[at[live] - k]]
+            found = here > 0
+            live, here = live[found], here[found]
+            node[live] = here
+            deeper = here < inner
+            live, here = live[deeper], here[deeper]
+        return np.bincount(owner, weights=logp[node * np.int64(width) + c[at]] + self.extra[line[at]], minlength=len(lines))
+
+
+def _key(k: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    return (k.astype(np.int64) << BITS * DEPTH) | ctx
+
+
+def build(rows: pd.DataFrame, owned: np.ndarray | None = None) -> Part:
+    """Trie from all counts (k, context code, symbol, n, n_context) of kept contexts and the root."""
+    k, ctx, sym = (rows[x].to_numpy(np.int64) for x in ("k", "ctx", "sym"))
+    n, n_ctx = rows["n"].to_numpy(float), rows["n_ctx"].to_numpy(float)
     root = np.full(N_SYMBOLS, 0.5)
-    root[seen] += counts
-    root[:] += max(0.0, n_all - counts.sum()) / N_SYMBOLS
-    # symbols in use have their own class; the rest share one, evenly
-    common = np.unique(np.concatenate([[0], seen])).astype(int)
+    root[sym[k == 0]] += n[k == 0]
+    common = np.unique(np.concatenate([[0], sym[k == 0]]))
     classes = np.full(N_SYMBOLS, len(common), dtype=np.int32)
     classes[common] = np.arange(len(common))
-    n_classes = len(common) + 1
-    extra = np.where(classes == n_classes - 1, -np.log10(max(1, N_SYMBOLS - len(common))), 0.0)
-    root_p = np.bincount(classes, weights=root / root.sum(), minlength=n_classes)
-    root_p = np.maximum(root_p, 1e-12)
-    p = {(): root_p / root_p.sum()}
-    kept = {()}
-    for ctx in sorted((c for c in table if c), key=len):
-        if ctx[1:] not in p:  # a suffix has at least the share of its context
-            continue
-        sym, n, n_ctx = table[ctx]
-        own = np.bincount(classes[sym], weights=n, minlength=n_classes)
-        shorter = p[ctx[1:]]
-        p[ctx] = (own + (SMOOTH + n_ctx - n.sum()) * shorter) / (n_ctx + SMOOTH)
-        gain = (p[ctx] * np.log(p[ctx] / shorter)).sum() * n_ctx / max(1, total)
-        if gain >= MIN_GAIN:
-            kept.update(ctx[i:] for i in range(len(ctx)))
-    return _automaton(kept, p, classes, extra, n_classes)
-
-
-def _automaton(kept: set, p: dict, classes: np.ndarray, extra: np.ndarray, n_classes: int) -> Automaton:
-    coded = {tuple(int(classes[s]) for s in ctx): ctx for ctx in kept}
-    states = sorted({c[:i] for c in coded for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(states)}
-    step = np.zeros((len(states), n_classes), dtype=np.int32)
-    logp = np.zeros((len(states), n_classes), dtype=np.float32)
-    fail = np.zeros(len(states), dtype=np.int64)
-    children: dict[tuple, list[int]] = {}
-    for c in states[1:]:
-        children.setdefault(c[:-1], []).append(c[-1])
-    for i, c in enumerate(states):
-        if c:
-            fail[i] = number[c[:-1]] if len(c) == 1 else step[fail[number[c[:-1]]], c[-1]]
-            step[i] = step[fail[i]]
-        if c in coded:
-            logp[i] = np.log10(p[coded[c]])
-        else:
-            logp[i] = logp[fail[i]]
-        for a in children.get(c, ()):
-            step[i, a] = number[(*c, a)]
-    return Automaton(classes, extra, step, logp)
-
-
-def learn(train: DataFrame) -> Automaton:
-    """Count over all training texts, keep what passes the share, test divergence, build."""
-    grams = settled(gram_counts(train))
-    total = grams.agg(F.sum("n")).first()[0] or 0
+    width = len(common) + 1
+    extra = np.where(classes == width - 1, -np.log10(max(1, N_SYMBOLS - len(common))), 0.0)
+    keys, first, row_node = np.unique(np.concatenate([[0], _key(k, ctx)]), return_index=True, return_inverse=True)
+    level = keys >> BITS * DEPTH
+    code = keys & ((1 << BITS * DEPTH) - 1)
+    shorter = np.maximum(level - 1, 0)
+    suffix = np.searchsorted(keys, _key(shorter, code & ((1 << BITS * shorter) - 1)))
+    is_inner = np.zeros(len(keys), dtype=bool)
+    is_inner[0] = True
+    is_inner[suffix[1:]] = True
+    number = np.empty(len(keys), dtype=np.int32)
+    number[np.argsort(~is_inner, kind="stable")] = np.arange(len(keys))  # inner nodes first, the root is 0
+    child = np.zeros((int(is_inner.sum()), width), dtype=np.int32)
+    oldest = classes[code[1:] >> BITS * shorter[1:]]
+    child[number[suffix[1:]], oldest] = number[1:]
+    p = np.zeros((len(keys), width))
+    p[0] = np.maximum(np.bincount(classes, weights=root / root.sum(), minlength=width), 1e-12)
+    sums = np.ones(len(keys))
+    sums[row_node[1:]] = n_ctx
+    for depth in range(1, DEPTH + 1):
+        nodes = np.flatnonzero(level == depth)
+        p[number[nodes]] = p[number[suffix[nodes]]] * (SMOOTH / (sums[nodes] + SMOOTH))[:, None]
+        mine = k == depth
+        p[number[row_node[1:][mine]], classes[sym[mine]]] += n[mine] / (n_ctx[mine] + SMOOTH)
+    return Part(classes, extra, child, np.log10(p).astype(np.float32), owned)
+
+
+def _last(k: int) -> str:
+    """SQL of the last ``k`` symbols of ``ctx``."""
+    return f"ctx & (shiftleft(1L, CAST({BITS} * ({k}) AS INT)) - 1)"
+
+
+def kept_contexts(grams: DataFrame) -> DataFrame:
+    """k, ctx, sym, n, n_ctx: all next-symbol counts of the kept contexts and of the root."""
     level = F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.shiftright("code", BITS).bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("ctx")) for k in range(DEPTH + 1)
     ]))
     sums = grams.select(level.alias("x"), F.col("code").bitwiseAND(F.lit(2**BITS - 1)).alias("sym"), "n").groupBy("x.k", "x.ctx", "sym").agg(F.sum("n").alias("n"))
-    least = MIN_SHARE * total
-    rows = (
+    rows = settled(
         sums.withColumn("n_ctx", F.sum("n").over(Window.partitionBy("k", "ctx")))  # at most 257 rows a context
-        .where((F.col("n_ctx") >= least) & (F.col("n") >= least / FINE))
+        .where((F.col("n_ctx") >= LEAST) | (F.col("k") == 0))
     )
-    return build(rows.toPandas(), total)  # at most (DEPTH + 1) * FINE / MIN_SHARE rows
+    shorter = rows.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("suffix"), "sym", F.col("n").alias("n_s"), F.col("n_ctx").alias("n_ctx_s"))
+    gain = F.sum(F.col("n") * F.log(F.col("n") * F.col("n_ctx_s") / (F.col("n_ctx") * F.col("n_s"))))
+    passed = (
+        rows.where("k > 0").withColumn("suffix", F.expr(_last("k - 1"))).join(shorter, ["k", "suffix", "sym"])
+        .groupBy("k", "ctx").agg(gain.alias("gain")).where(F.col("gain") >= MIN_GAIN)
+    )
+    closed = (
+        passed.select(F.explode(F.sequence(F.lit(1), "k")).alias("j"), "ctx")
+        .select(F.col("j").alias("k"), F.expr(_last("j")).alias("ctx")).distinct()
+    )
+    return rows.where("k > 0").join(closed, ["k", "ctx"], "left_semi").unionByName(rows.where("k = 0"))
+
+
+@dataclass
+class Tree:
+    """Kept counts with the part of each context (null: in all parts)."""
+
+    rows: DataFrame
+    pairs: pd.DataFrame
+    n_parts: int
+
+    def part(self, i: int) -> Part:
+        """Part ``i``; at most ``PART_NODES`` contexts with 257 symbols each come to the driver."""
+        if self.n_parts == 1:
+            return build(self.rows.toPandas())
+        owned = np.full(1 << 2 * BITS, i == 0)  # pairs that no kept context ends with fall to the first
+        owned[self.pairs["pair"]] = (self.pairs["part"] == i).to_numpy()
+        mine = self.rows.where(F.col("part").isNull() | (F.col("part") == i))
+        return build(mine.toPandas(), owned)
+
+
+def learn(train: DataFrame) -> Tree:
+    """Count over all training texts, test, close, and deal the contexts to parts."""
+    rows = settled(kept_contexts(settled(gram_counts(train))).withColumn("pair", F.when(F.col("k") > 1, F.expr(_last("2")))))
+    pairs = (
+        rows.where("k > 1").select("k", "ctx", "pair").distinct().groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+        .orderBy("pair").toPandas()  # at most 257 x 257 rows
+    )
+    part, filled = [], 0
+    for n in pairs["n"]:
+        if part and filled + n > PART_NODES:
+            part.append(part[-1] + 1)
+            filled = 0
+        else:
+            part.append(part[-1] if part else 0)
+        filled += n
+    pairs["part"] = np.array(part, dtype=np.int32)
+    n_parts = part[-1] + 1 if part else 1
+    if n_parts > 1:
+        table = train.sparkSession.createDataFrame(pairs[["pair", "part"]], "pair bigint, part int")
+        rows = settled(rows.join(F.broadcast(table), "pair", "left"))
+    return Tree(rows, pairs, n_parts)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -260,10 +294,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _further(texts: DataFrame, tree: Tree) -> DataFrame:
+    """_h1, _h2, _more: what the parts after the first add to the score of each distinct text."""
+    passes = []
+    for i in range(1, tree.n_parts):
+        held = texts.sparkSession.sparkContext.broadcast(tree.part(i))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            part = held.value
+            for b in batches:
+                frame = b[["_h1", "_h2"]].copy()
+                frame["x"] = part.score([(t or "").encode("utf-8", "surrogatepass").lower() for t in b["text"]])
+                yield frame
+
+        found = texts.select("_h1", "_h2", "text").mapInPandas(run, "_h1 bigint, _h2 bigint, x double")
+        passes.append(settled(found.groupBy("_h1", "_h2").agg(F.max("x").alias("x"))))
+        held.destroy()
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("_h1", "_h2").agg(F.sum("x").alias("_more"))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document."""
     marked = docs.select("doc_id", "text", (bucket_of(F.col("doc_id"), HOLD_OUT_MOD) == 0).alias("held_out"))
-    model = learn(marked.where(~F.col("held_out")))
+    text = F.coalesce("text", F.lit(""))
+    marked = marked.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))})
+    tree = learn(marked.where(~F.col("held_out")))
     counts = settled(word_counts(marked))
     n_all, n_train, n_words = counts.agg(F.sum("n"), F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n_all, n_train = n_all or 0, n_train or 0
@@ -271,15 +329,15 @@ def score(docs: DataFrame) -> DataFrame:
     common = counts.where(often).select("word", "c").toPandas()  # at most 1 / WORD_SHARE rows
     known = dict(zip(map(bytes, common["word"]), common["c"].tolist()))
     bottom = float(np.log10(n_train + 0.1 * (n_words + 1)))
-    held = docs.sparkSession.sparkContext.broadcast((model, known))
+    held = docs.sparkSession.sparkContext.broadcast((tree.part(0), known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, known = held.value
+        part, known = held.value
         log = {w: float(np.log10(c + 0.1)) for w, c in known.items()}
         for b in batches:
             raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in b["text"]]
-            frame = b[["doc_id", "held_out"]].copy()
-            frame["score"] = automaton.score(raws)
+            frame = b[["doc_id", "held_out", "_h1", "_h2"]].copy()
+            frame["score"] = part.score(raws)
             n_tokens, n_known, base, rare = [], [], [], []
             for raw in raws:
                 ws = [*raw.split(), b""]
@@ -293,9 +351,11 @@ def score(docs: DataFrame) -> DataFrame:
             yield frame
 
     scored = settled(
-        marked.mapInPandas(run, "doc_id bigint, held_out boolean, score double, n_tokens bigint, n_known bigint, base double, rare array<binary>")
+        marked.mapInPandas(run, "doc_id bigint, held_out boolean, _h1 bigint, _h2 bigint, score double, n_tokens bigint, n_known bigint, base double, rare array<binary>")
         .withColumn("_row", F.monotonically_increasing_id())
     )
+    if tree.n_parts > 1:
+        scored = scored.join(_further(marked, tree), ["_h1", "_h2"], "left").withColumn("score", F.col("score") + F.col("_more")).drop("_more")
     rest = (
         scored.select("_row", F.explode("rare").alias("word"))
         .join(counts.where(~often).select("word", "c"), "word", "left")

@@ -253,17 +253,52 @@ def test_base_score_and_model(spark, rows):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
-def test_automaton_scores_by_the_longest_kept_suffix(spark, docs):
-    model = suffix_tree_lm.learn(docs.limit(60))
-    assert np.allclose((10.0 ** model.logp).sum(axis=1), 1, atol=1e-3)
-    text = b"the thing and the other " * 90  # several runs
-    state, want = 0, 0.0
-    s = suffix_tree_lm.symbols(text)
-    for k, c in enumerate(model.classes[s]):
-        if k >= suffix_tree_lm.DEPTH:
-            want += model.logp[state, c] + model.extra[s[k]]
-        state = model.step[state, c]
-    assert np.allclose(model.score([b"", text, b"x"])[1], want)
+@pytest.mark.parametrize("part_nodes", [40_000, 30])
+def test_tree_equals_brute_force(spark, docs, monkeypatch, part_nodes):
+    monkeypatch.setattr(suffix_tree_lm, "LEAST", 12)
+    monkeypatch.setattr(suffix_tree_lm, "MIN_GAIN", 8.0)
+    monkeypatch.setattr(suffix_tree_lm, "PART_NODES", part_nodes)
+    texts = [(i, (t or "")[:400]) for i, t in docs.select("doc_id", "text").orderBy("doc_id").limit(25).collect()]
+    texts += [(900, None), (901, ""), (902, "\u00e9\u4e2d new"), texts[0]]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    depth = suffix_tree_lm.DEPTH
+
+    def padded(text):
+        return [0] * depth + [x + 1 for x in (text or "").encode().lower()] + [0]
+
+    counts = {}
+    for i, text in texts:
+        if zlib.crc32(str(i).encode()) % 10:
+            line = padded(text)
+            for at in range(depth, len(line)):
+                for k in range(depth + 1):
+                    counts.setdefault(tuple(line[at - k : at]), Counter())[line[at]] += 1
+    size = {ctx: sum(c.values()) for ctx, c in counts.items()}
+    kept = {()}
+    for ctx, own in counts.items():
+        if ctx and size[ctx] >= 12:
+            shorter = counts[ctx[1:]]
+            gain = sum(n * math.log(n * size[ctx[1:]] / (size[ctx] * shorter[a])) for a, n in own.items())
+            if gain >= 8.0:
+                kept.update(ctx[i:] for i in range(len(ctx)))
+
+    def chance(ctx, a):
+        if not ctx:
+            return (counts[()][a] + 0.5) / (size[()] + 0.5 * 257)
+        return (counts[ctx][a] + 8.0 * chance(ctx[1:], a)) / (size[ctx] + 8.0)
+
+    tree = suffix_tree_lm.learn(table.where("crc32(cast(cast(doc_id as string) as binary)) % 10 != 0"))
+    found = set()
+    for r in tree.rows.select("k", "ctx").distinct().collect():
+        found.add(tuple((r["ctx"] >> 9 * (r["k"] - 1 - i)) & 511 for i in range(r["k"])))
+    assert found == kept and (tree.n_parts > 2) == (part_nodes == 30)
+    scores = {(r["doc_id"], r["n_tokens"]): r["score"] for r in suffix_tree_lm.score(table).collect()}
+    for i, text in texts:
+        line, want = padded(text), 0.0
+        for at in range(depth, len(line)):
+            ctx = next(tuple(line[at - k : at]) for k in range(depth, -1, -1) if tuple(line[at - k : at]) in kept)
+            want += math.log10(chance(ctx, line[at]))
+        assert math.isclose(scores[i, len(WORD.findall(text or "")) + 1], want, rel_tol=1e-4), i
 
 
 # classifier
