@@ -38,7 +38,7 @@ from .common import bucket_of, settled
 DEPTH = 5
 LEAST = 256
 MIN_GAIN = 60.0
-PART_NODES = 40_000
+PART_NODES = 25_000
 SMOOTH = 8.0
 WORD_SHARE = 2e-6
 N_SYMBOLS = 257
@@ -161,8 +161,7 @@ def _key(k: np.ndarray, ctx: np.ndarray) -> np.ndarray:
 
 def build(rows: pd.DataFrame, owned: np.ndarray | None = None) -> Part:
     """Trie from all counts (k, context code, symbol, n, n_context) of kept contexts and the root."""
-    k, ctx, sym = (rows[x].to_numpy(np.int64) for x in ("k", "ctx", "sym"))
-    n, n_ctx = rows["n"].to_numpy(float), rows["n_ctx"].to_numpy(float)
+    k, ctx, sym, n, n_ctx = (rows[x].to_numpy() for x in ("k", "ctx", "sym", "n", "n_ctx"))
     root = np.full(N_SYMBOLS, 0.5)
     root[sym[k == 0]] += n[k == 0]
     common = np.unique(np.concatenate([[0], sym[k == 0]]))
@@ -183,16 +182,16 @@ def build(rows: pd.DataFrame, owned: np.ndarray | None = None) -> Part:
     child = np.zeros((int(is_inner.sum()), width), dtype=np.int32)
     oldest = classes[code[1:] >> BITS * shorter[1:]]
     child[number[suffix[1:]], oldest] = number[1:]
-    p = np.zeros((len(keys), width))
+    p = np.zeros((len(keys), width), dtype=np.float32)
     p[0] = np.maximum(np.bincount(classes, weights=root / root.sum(), minlength=width), 1e-12)
     sums = np.ones(len(keys))
     sums[row_node[1:]] = n_ctx
     for depth in range(1, DEPTH + 1):
         nodes = np.flatnonzero(level == depth)
-        p[number[nodes]] = p[number[suffix[nodes]]] * (SMOOTH / (sums[nodes] + SMOOTH))[:, None]
+        p[number[nodes]] = p[number[suffix[nodes]]] * (SMOOTH / (sums[nodes] + SMOOTH)).astype(np.float32)[:, None]
         mine = k == depth
         p[number[row_node[1:][mine]], classes[sym[mine]]] += n[mine] / (n_ctx[mine] + SMOOTH)
-    return Part(classes, extra, child, np.log10(p).astype(np.float32), owned)
+    return Part(classes, extra, child, np.log10(p, out=p), owned)
 
 
 def _last(k: int) -> str:
@@ -233,12 +232,13 @@ class Tree:
 
     def part(self, i: int) -> Part:
         """Part ``i``; at most ``PART_NODES`` contexts with 257 symbols each come to the driver."""
+        small = ["cast(k as smallint) k", "ctx", "cast(sym as smallint) sym", "n", "n_ctx"]
         if self.n_parts == 1:
-            return build(self.rows.toPandas())
+            return build(self.rows.selectExpr(*small).toPandas())
         owned = np.full(1 << 2 * BITS, i == 0)  # pairs that no kept context ends with fall to the first
         owned[self.pairs["pair"]] = (self.pairs["part"] == i).to_numpy()
         mine = self.rows.where(F.col("part").isNull() | (F.col("part") == i))
-        return build(mine.toPandas(), owned)
+        return build(mine.selectExpr(*small).toPandas(), owned)
 
 
 def learn(train: DataFrame) -> Tree:
