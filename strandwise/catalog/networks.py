@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, hits
-from ..operators.skew import attach, cut_lineage
+from ..operators.skew import attach, cut_lineage, dealt
 from ..plans import chapters
 from .tables import r6, rounded, table
 
 
 def _hits(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").cast("string").alias("term")).distinct()
+    rows = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").cast("string").alias("term"))
+    return dealt(rows, ["doc_id"]).distinct()
 
 
 def _n_docs(spark, d):

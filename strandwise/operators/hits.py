@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .relational import top_k
 from .skew import attach, cut_lineage, hot_keys, numbered, pick_hot
 
 TILE = 1_000
+#: Pairs (or hits) of one task.
+TASK_PAIRS = 400_000
 BROADCAST_CHARS, BROADCAST_ROWS = 16_000_000, 1_000_000
 WINDOW = 256
 SPACE = r"\s+"
@@ -94,35 +98,71 @@ def frequent_only(hits: DataFrame, least: int) -> DataFrame:
 def cooccurrence(hits: DataFrame, mean_of: str | None = None) -> DataFrame:
     """Documents per pair of terms (a < b), optionally with the mean of a document value.
 
-    A document with more than ``TILE`` terms is cut into blocks, and each pair of
-    blocks becomes its own join key, so one crowded document spreads over many
-    tasks. Pairs are counted on the map side, before the shuffle.
+    Documents are dealt to as many tasks as their pairs need (``TASK_PAIRS`` each), so what a task
+    holds does not grow with the input; a document's pairs come from its sorted terms. Where the
+    terms are so few that pairs must repeat in a task, they are counted before they move. A document
+    with more than ``TILE`` terms is cut into blocks, and each pair of blocks becomes its own join
+    key, so it spreads over many tasks.
     """
     cols = ["doc_id", "term", *([mean_of] if mean_of else [])]
-    rows = hits.select(*cols).dropDuplicates(["doc_id", "term"])
+    rows = hits.select(*cols).where("doc_id is not null and term is not null").dropDuplicates(["doc_id", "term"])
+    rows = cut_lineage(rows)  # read for sizes, terms and pairs
     sizes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    crowded = cut_lineage(sizes.where(F.col("_rows") > TILE))
-    if crowded.isEmpty():
-        right = rows.select("doc_id", F.col("term").alias("b"))
-        met = rows.withColumnRenamed("term", "a").join(right, "doc_id").where(F.col("a") < F.col("b"))
+    few = F.when(F.col("_rows") <= TILE, F.col("_rows"))
+    n_rows, n_pairs, most = sizes.agg(F.sum(few), F.sum(few * (few - 1) / 2), F.max("_rows")).first()
+    need = math.ceil(max(n_rows or 0, n_pairs or 0) / TASK_PAIRS)
+    parts = max(hits.sparkSession.sparkContext.defaultParallelism, need)
+    n_terms = rows.agg(F.approx_count_distinct("term")).first()[0]
+    repeats = (n_pairs or 0) / parts >= n_terms * n_terms / 4  # half of all pairs there can be
+    sums = [F.count(F.lit(1)).alias("_n")]
+    if mean_of:
+        sums += [F.sum(mean_of).alias("_s"), F.count(mean_of).alias("_k")]
+    if (most or 0) <= TILE:
+        counts = _listed_pairs(rows, mean_of, parts, sums, repeats)
     else:
-        parts = crowded.select("doc_id", F.ceil(F.col("_rows") / TILE).alias("_p"))
-        rows = attach(rows, parts, ["doc_id"]).withColumn("_p", F.coalesce("_p", F.lit(1)))
-        rows = rows.withColumn("_b", F.pmod(F.xxhash64("term"), "_p"))
-        other = F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)
-        tiles = rows.withColumn("_o", F.explode(other)).select(
-            *cols, "_b", F.least("_b", "_o").alias("_ti"), F.greatest("_b", "_o").alias("_tj")
-        )
-        left = tiles.withColumnRenamed("term", "a")
-        right = tiles.select("doc_id", F.col("term").alias("b"), F.col("_b").alias("_c"), "_ti", "_tj")
-        # A tile of two blocks pairs across them; a tile of one block pairs inside it.
-        met = left.join(right, ["doc_id", "_ti", "_tj"]).where(
-            (F.col("a") < F.col("b")) & ((F.col("_ti") == F.col("_tj")) | (F.col("_b") != F.col("_c")))
-        )
-    aggs = [F.count(F.lit(1)).alias("weight")]
+        crowded = cut_lineage(sizes.where(F.col("_rows") > TILE))
+        hot = pick_hot(crowded)
+        plain = attach(rows, crowded.select("doc_id"), ["doc_id"], "left_anti", hot)
+        blocks = crowded.select("doc_id", F.ceil(F.col("_rows") / TILE).alias("_p"))
+        tiled = attach(rows, blocks, ["doc_id"], "inner", hot)
+        counts = _listed_pairs(plain, mean_of, parts, sums, repeats).unionByName(_tiled_pairs(tiled, cols, sums))
+    aggs = [F.sum("_n").alias("weight")]
+    if mean_of:
+        aggs.append(F.try_divide(F.sum("_s"), F.sum("_k")).alias(f"mean_{mean_of}"))
+    return counts.repartition(parts, "a", "b").groupBy("a", "b").agg(*aggs)
+
+
+def _listed_pairs(rows: DataFrame, mean_of: str | None, parts: int, sums: list[Column], repeats: bool) -> DataFrame:
+    """Sums per pair over documents of few terms, one row a pair and task or (not ``repeats``) a pair and document."""
+    task = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    rows = rows.withColumns({"_task": task, "_v": F.col(mean_of) if mean_of else F.lit(0)}).repartitionById(parts, F.col("_task"))
+    lists = rows.groupBy("_task", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "_v"))).alias("_l"))
+    firsts = lists.select("_task", "_l", F.posexplode("_l").alias("_i", "_x"))
+    rest = F.slice("_l", F.col("_i") + 2, F.size("_l"))
+    met = firsts.select("_task", F.col("_x.term").alias("a"), F.col("_x._v").alias(mean_of or "_v"), F.explode(rest).alias("_y"))
+    met = met.withColumn("b", F.col("_y.term")).drop("_y")
+    if repeats:
+        return met.groupBy("_task", "a", "b").agg(*sums).drop("_task")
+    one = [F.lit(1).cast("long").alias("_n")]
     if mean_of:
-        aggs.append(F.avg(mean_of).alias(f"mean_{mean_of}"))
-    return met.groupBy("a", "b").agg(*aggs)
+        one += [F.col(mean_of).alias("_s"), F.col(mean_of).isNotNull().cast("long").alias("_k")]
+    return met.select("a", "b", *one)
+
+
+def _tiled_pairs(rows: DataFrame, cols: list[str], sums: list[Column]) -> DataFrame:
+    """Sums per pair over documents of many terms, which are cut into ``_p`` blocks."""
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("term"), "_p"))
+    other = F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)
+    tiles = rows.withColumn("_o", F.explode(other)).select(
+        *cols, "_b", F.least("_b", "_o").alias("_ti"), F.greatest("_b", "_o").alias("_tj")
+    )
+    left = tiles.withColumnRenamed("term", "a")
+    right = tiles.select("doc_id", F.col("term").alias("b"), F.col("_b").alias("_c"), "_ti", "_tj")
+    # A tile of two blocks pairs across them; a tile of one block pairs inside it.
+    met = left.join(right, ["doc_id", "_ti", "_tj"]).where(
+        (F.col("a") < F.col("b")) & ((F.col("_ti") == F.col("_tj")) | (F.col("_b") != F.col("_c")))
+    )
+    return met.groupBy("a", "b").agg(*sums)
 
 
 def term_correlation(hits: DataFrame, n_docs: Column | int) -> DataFrame:

@@ -442,3 +442,33 @@ def test_text_expressions(spark):
     assert one(spark, text.occurs(F.lit("a.b"), F.lit("."))) == 1
     units = one(spark, relational.repeat_to_total(F.lit(0.05), 0.02))
     assert np.allclose(units, [0.02, 0.02, 0.01])
+
+
+@pytest.mark.parametrize("terms", [6, 40])
+def test_cooccurrence_deals_pairs_to_tasks(spark, monkeypatch, terms):
+    """Tasks follow the number of pairs, whether pairs repeat in a task or not."""
+    monkeypatch.setattr(hits, "TASK_PAIRS", 50)
+    rng = random.Random(5)
+    rows = [(d, f"t{t}", None if d % 7 == 0 else float(d)) for d in range(150) for t in rng.sample(range(terms), rng.choice([1, 3, 5]))]
+    df = spark.createDataFrame([*rows, *rows[:30], (None, "t1", 1.0), (None, "t2", 1.0), (3, None, 3.0)], "doc_id int, term string, x double")
+    by_doc, want = {}, {}
+    for d, t, _ in rows:
+        by_doc.setdefault(d, []).append(t)
+    for d, held in by_doc.items():
+        for pair in itertools.combinations(sorted(held), 2):
+            want.setdefault(pair, []).append(d)
+    out = hits.cooccurrence(df, "x")
+    got = {(r.a, r.b): (r.weight, r.mean_x) for r in out.collect()}
+    assert out.rdd.getNumPartitions() >= sum(map(len, want.values())) / 50
+    known = {p: [d for d in ds if d % 7] for p, ds in want.items()}
+    assert got == {p: (len(ds), pytest.approx(np.mean(known[p])) if known[p] else None) for p, ds in want.items()}
+    assert {(r.a, r.b): r.weight for r in hits.cooccurrence(df).collect()} == {p: len(ds) for p, ds in want.items()}
+
+
+def test_dealt_rows_of_a_task(spark, monkeypatch):
+    """Tasks follow the rows, and are not joined to fewer; a hot key is left to the split plans."""
+    df = spark.range(10_000).select((F.col("id") % 500).alias("k"), "id")
+    out = skew.dealt(df, ["k"], 500).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert out.rdd.getNumPartitions() == 20 and {r.n for r in out.collect()} == {20}
+    monkeypatch.setattr(skew, "MIN_ROWS", 10)
+    assert skew.dealt(df, ["k"], 500) is df
