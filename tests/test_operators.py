@@ -465,6 +465,24 @@ def test_cooccurrence_deals_pairs_to_tasks(spark, monkeypatch, terms):
     assert {(r.a, r.b): r.weight for r in hits.cooccurrence(df).collect()} == {p: len(ds) for p, ds in want.items()}
 
 
+def test_near_pairs_cut_all_coordinates(spark, monkeypatch):
+    """Rows that agree in the first two coordinates do not all meet."""
+    rng = np.random.default_rng(6)
+    pts = [(i, 0.0, 0.0, float(x), float(1 - x)) for i, x in enumerate(rng.random(400))]
+    met, tiles = [], sequences.meet_in_tiles
+
+    def counted(*args):
+        out = tiles(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(sequences, "meet_in_tiles", counted)
+    out = sequences.near_pairs(spark.createDataFrame(pts, "id int, a double, b double, c double, d double"), "id", ["a", "b", "c", "d"], 0.01)
+    want = {(p[0], q[0]) for p, q in itertools.combinations(pts, 2) if math.dist(p[1:], q[1:]) <= 0.01}
+    assert want and {(r.a, r.b) for r in out.collect()} == want
+    assert met[0] < 400 * 400 / 8
+
+
 def test_dealt_rows_of_a_task(spark, monkeypatch):
     """Tasks follow the rows, and are not joined to fewer; a hot key is left to the split plans."""
     df = spark.range(10_000).select((F.col("id") % 500).alias("k"), "id")
