@@ -483,6 +483,24 @@ def test_near_pairs_cut_all_coordinates(spark, monkeypatch):
     assert met[0] < 400 * 400 / 8
 
 
+def test_record_order_equals_minutes(spark):
+    """Runs of equal states, gaps, prefixes, null states, unknown states and null keys."""
+    rng = random.Random(8)
+    minute, names = 60_000_000, ["a", "b", "c"]
+    rows = []
+    for k in range(60):
+        at = rng.randrange(minute)
+        for _ in range(rng.choice([1, 2, 3])):
+            length = rng.choice([0, 1, 2, 3]) * minute + rng.choice([-minute, -5, 0, 7])
+            rows.append((k, at, at + length, rng.choice([*names, "a", "other", None]), len(rows)))
+            at += max(length, 0) + rng.choice([0, 0, minute, 3 * minute])
+    rows += [(None, 5, minute, "c", 900), (None, 2, minute, "b", 901)]
+    df = spark.createDataFrame(rows, "id int, s long, e long, state string, tie int")
+    slow = sequences.sequence_order(sessions.minute_states(df, ["id"], "s", "e", "state", "tie"), ["id"], names)
+    fast = sequences.record_order(df, ["id"], "s", "e", "state", "tie", names)
+    assert {r.id: r.position for r in fast.collect()} == {r.id: r.position for r in slow.collect()}
+
+
 def test_dealt_rows_of_a_task(spark, monkeypatch):
     """Tasks follow the rows, and are not joined to fewer; a hot key is left to the split plans."""
     df = spark.range(10_000).select((F.col("id") % 500).alias("k"), "id")
