@@ -508,3 +508,18 @@ def test_dealt_rows_of_a_task(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 20 and {r.n for r in out.collect()} == {20}
     monkeypatch.setattr(skew, "MIN_ROWS", 10)
     assert skew.dealt(df, ["k"], 500) is df
+
+
+def test_profile_reads_its_rows_once(spark, hot):
+    """The steps for hot groups read settled rows, not the input again."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        reads.add(1)
+        return float(v)
+
+    df = spark.range(60).select((F.col("id") % 2).alias("g"), F.lit("x").alias("h"), seen("id").alias("v"))
+    got = {(r["class"], r["type"]): (r.n, r.q50) for r in profiles.profile_by_each(df, ["g", "h"], "v").collect()}
+    assert got == {("g", "0"): (30, 29.0), ("g", "1"): (30, 30.0), ("h", "x"): (60, 29.5)}
+    assert reads.value == 60
