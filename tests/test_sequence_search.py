@@ -179,3 +179,43 @@ def test_record_spells_equal_minutes(spark, floor):
         assert table(sequences.spell_shares(got, ["id"], STATES)) == table(sequences.state_shares(minutes, ["id"], STATES))
     finally:
         spark.conf.unset("strandwise.hot.minRows")
+
+
+def test_only_what_histograms_leave_meets_the_pivots(spark, monkeypatch):
+    """400 sequences of unlike lengths and two close ones: two are aligned with the pivots, before it was all."""
+    kind = "id string, spells array<struct<start:int,state:string,length:int>>"
+    rows = [(f"s{i}", [(0, "a", 50 * i + 1), (50 * i + 1, "b", 7)]) for i in range(400)]
+    df = spark.createDataFrame([*rows, ("t", [(0, "a", 102), (102, "b", 7)])], kind)
+    table = spark.createDataFrame(cost_rows(random.Random(6)), "a string, b string, cost double")
+    asked, far = [], search._far
+    monkeypatch.setattr(search, "_far", lambda lists, *a: asked.append(lists.count()) or far(lists, *a))
+    got = search.near_by_edits(df, "id", table, 3.0).collect()
+    assert [(r["a"], r["b"]) for r in got] == [("s2", "t")] and asked == [2]
+
+
+def test_spells_and_holes_from_one_pass(spark):
+    """The records of a session are sorted and cut once, not once for spells and once for holes."""
+    rows = [(1, 0, 120, "x", 1), (1, 60, 90, "y", 2), (1, 600, 660, "y", 3), (1, 660, 900, "y", 4), (2, 0, 10, "x", 5), (2, 90, 91, "x", 6)]
+    df = spark.createDataFrame([(k, s * 10**6, e * 10**6, v, t) for k, s, e, v, t in rows], "k int, s long, e long, v string, t int")
+    out = sessions.record_spells(df, ["k"], "s", "e", "v", "t")
+    got = sorted((r["k"], r["start"], r["state"], r["length"]) for r in out.collect())
+    assert got == [(1, 0, "x", 3), (1, 3, "missing", 7), (1, 10, "y", 6), (2, 0, "x", 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
+def test_sessions_are_found_once(spark, monkeypatch):
+    """The typed queries take records, spells and types from one set of sessions."""
+    from strandwise.catalog import neighbours, sleep
+
+    made, find = [], sleep._sessions
+    for place in (neighbours, sleep):
+        monkeypatch.setattr(place, "_sessions", lambda *a: made.append(1) or find(*a))
+    monkeypatch.setattr(neighbours.sequence_search, "medoid_types", lambda distinct, *a: distinct.selectExpr("rep", "'Type 1' type", "rep medoid", "0D distance"))
+    events = [(i, i // 4, "view" if i % 3 else "click", i % 4 * 20, 5.0 + i % 7) for i in range(40)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, state string, at long, value double").selectExpr(
+        "user_id", "event_id", "state", "at * 60000000 start_us", "cast((at + value) * 60000000 as long) end_us")
+    for place in (neighbours, sleep):
+        monkeypatch.setattr(place, "event_records", lambda *a: frame, raising=False)
+    for name in ("state_distribution_by_cluster", "cluster_profile"):
+        made.clear()
+        assert neighbours.QUERIES[name](spark, "").count() > 0 and made == [1]
