@@ -55,3 +55,22 @@ def test_links_are_joined_once_a_round(spark, monkeypatch):
     monkeypatch.setattr(graphs, "attach", lambda df, *a, **b: read.append("weight" in df.columns) or attach(df, *a, **b))
     graphs._risen(links, start, links.agg(F.sum("weight")).first()[0], None, 2)
     assert read == [True] * 3
+
+
+def test_few_links_take_no_round_over_tables(spark, monkeypatch):
+    """Rounds of a small graph cost no jobs; before, each took several."""
+    rows = [(f"{c}{i}", f"{c}{j}", 2) for c in "pqr" for i in range(5) for j in range(i)] + [("p0", "q0", 1), ("q1", "r1", 1), ("s0", "s0", 9)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight long")
+    monkeypatch.setattr(graphs, "_risen", lambda *a: 1 / 0)
+    got = {r["id"]: r["community"] for r in graphs.communities(edges).collect()}
+    assert got == {f"{c}{i}": f"{c}0" for c in "pqr" for i in range(5)}
+
+
+def test_rounds_over_arrays_and_tables_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(150)]
+    edges = spark.createDataFrame([(str(a), str(b), rng.randint(1, 9)) for a, b in pairs], "src string, dst string, weight long").cache()
+    here = sorted(map(tuple, graphs.communities(edges, 2, 2).collect()))
+    for bound in (-1, 100):  # tables only, and arrays from the second level on
+        monkeypatch.setattr(graphs, "HERE_LINKS", bound)
+        assert sorted(map(tuple, graphs.communities(edges, 2, 2).collect())) == here
