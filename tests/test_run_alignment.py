@@ -67,3 +67,12 @@ def test_four_distances_of_long_spells(spark):
     assert abs(got[1]["om_slen"] - 2 * 1.5 / 15_000**0.5) < 1e-6
     # apart by the state only: 0.5 * 3 and no move of either
     assert got[3]["om"] == 3.0 and got[3]["om_stran"] == 1.5
+
+
+def test_borders_of_first_and_last_runs_take_no_windows(monkeypatch):
+    """Two sequences of two runs: before, six borders were found by windows; the first are straight, the last are not needed."""
+    seen, window = [], run_alignment._window_min
+    monkeypatch.setattr(run_alignment, "_window_min", lambda *a: seen.append(1) or window(*a))
+    costs = sequence_search.EditCosts(("a", "b"), np.array([[0.0, 3.0], [3.0, 0.0]]), 2.0)
+    x, y = (np.array([0, 1]), np.array([5, 9])), (np.array([1, 0]), np.array([4, 8]))
+    assert abs(sequence_search.distances([(x, y)], costs, "om")[0] - by_positions(x, y, costs, False)) < 1e-9 and not seen
