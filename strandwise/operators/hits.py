@@ -48,12 +48,12 @@ def _inside(pieces: DataFrame, terms: DataFrame, lengths: list[int], small: bool
 def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """Distinct (document, term) where the literal term occurs anywhere in the text.
 
-    Texts are reduced to their distinct space-separated pieces, and only the
-    distinct pieces of the whole collection are searched; a term with spaces in it
+    Texts are reduced to their distinct space-separated pieces; a term with spaces in it
     is searched in whole texts. There is no document-by-term comparison. The
     vocabulary is broadcast only when its measured size is at most
-    ``BROADCAST_CHARS`` characters and ``BROADCAST_ROWS`` terms, otherwise it is
-    joined by shuffle.
+    ``BROADCAST_CHARS`` characters and ``BROADCAST_ROWS`` terms. Then each document's pieces are searched
+    where its text is read, and only hits move. Otherwise the vocabulary is joined by shuffle, and only the
+    distinct pieces of the whole collection are searched.
     """
     spark = docs.sparkSession
     vocab = terms.select(terms.columns[0]).toDF("term").where(F.char_length("term") > 0).distinct()
@@ -67,16 +67,20 @@ def term_hits(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
         lengths = sorted(n for s, n, _ in found if s == spaced)
         if not lengths:
             continue
-        part = F.array(F.col(text_col)) if spaced else F.split(text_col, SPACE)
+        part = F.array(F.col(text_col)) if spaced else F.array_distinct(F.split(text_col, SPACE))  # a document moves each of its pieces once
         pieces = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(part).alias("piece"))
         pieces = pieces.where(F.char_length("piece") >= lengths[0])
         wanted = vocab.where(spaced_term if spaced else ~spaced_term)
+        if small:
+            hits = _inside(pieces.withColumnRenamed("doc_id", "pid"), wanted, lengths, small).withColumnRenamed("pid", "doc_id")
+            out = hits if out is None else out.unionByName(hits)  # a term is in one of both parts
+            continue
         # Cutting pieces up is far more work than their bytes suggest: keep all tasks.
         unique = pieces.select("piece").distinct().repartition(tasks, "piece")
         unique = cut_lineage(unique.withColumn("pid", F.monotonically_increasing_id()))
         matched = cut_lineage(_inside(unique, wanted, lengths, small).join(unique, "pid").select("piece", "term"))
         hits = attach(pieces, matched, ["piece"], "inner").select("doc_id", "term").distinct()
-        out = hits if out is None else out.unionByName(hits).distinct()
+        out = hits if out is None else out.unionByName(hits)
     if out is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("term")).limit(0)
     return out
